@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import secret_scan
+
 ORACLES: dict[str, str] = {}
 
 _ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -32,3 +34,35 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hit using (k) left join items using (k)
 """
+
+
+def _secrets() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    each = "\nunion all ".join(
+        f"select k, {rank} as rank, {quoted(r.name)} as kind, {r.least} as least, string_split_regex(t, {quoted(r.pattern)}) as pieces, "
+        f"regexp_extract_all(t, {quoted(r.pattern)}) as m, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) as g from d"
+        for rank, r in enumerate(secret_scan.RULES)
+    )
+    line = "kind || ':' || s || ':' || e"
+    n = lambda kind: f"cast(count(*) filter (kind = '{kind}') as bigint) as n_{kind}"
+    return f"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t from documents),
+every as ({each}),
+steps as (
+  select k, rank, kind, least, i, length(pieces[i]) as gap, length(m[i]) as size, length(g[i]) as judged
+  from (select *, unnest(range(1, len(m) + 1)) as i from every)
+), spans as (
+  select k, rank, kind, judged, least, size, sum(gap + size) over (partition by k, rank order by i) as e from steps
+), kept as (select k, rank, kind, cast(e - size as bigint) as s, cast(e as bigint) as e from spans where judged >= least)
+, found as (
+  select k, {n("assign")}, {n("access")}, {n("hex")},
+    string_agg({line}, ',' order by s, rank) filter (rank < {len(secret_scan.BASE)}) as base, string_agg({line}, ',' order by s, rank) as spans
+  from kept group by k
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join found using (k)
+"""
+
+
+ORACLES["op2_secret_scan"] = _secrets()
