@@ -66,3 +66,21 @@ from d left join found using (k)
 
 
 ORACLES["op2_secret_scan"] = _secrets()
+
+ORACLES["op7_chat_format"] = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), bodies as (
+  select *, case
+    when not contains(text, '\') and not contains(text, ' </turn>' || chr(10)) then text
+    when not contains(text, ' </turn>' || chr(10)) then replace(text, '\', '\\')
+    else replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '#', '\#') end as body
+  from rows
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length('### ' || url_encode(role) || ': ' || body || ' </turn>' || chr(10))) as bigint) as formatted_chars
+from bodies group by conv_id
+"""
