@@ -1,18 +1,51 @@
-"""The corpus pipeline: stages that each call one training-data operator."""
+"""The corpus pipeline: five stages that each call one training-data operator.
+
+``run`` applies them to ``documents``. A stage's result is written to the folder in
+``spark.checkpoint.dir`` and read again as the next stage's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import simhash
+from graphloom.llm import bpe, decontam, language_id, secret_scan, simhash
 from graphloom.llm.common import materialize
+from graphloom.llm.queries import vocabulary_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language classifier rejects go."""
+    return language_id.keep_identified(docs)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold enough of the benchmark go."""
+    return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a rule finds a secret go."""
+    return secret_scan.remove_leaks(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left, with the ids themselves."""
+    return bpe.encode(docs.select("doc_id", "text"), vocabulary_path(), ids=True)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", remove_near_copies),
+    ("decontamination", decontaminate),
+    ("secret_scan", remove_secrets),
+    ("bpe", encode_tokens),
+]
+#: SQL can express neither the classifier nor the fingerprints: tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
