@@ -33,8 +33,8 @@ from .common import byte_values
 #: The vocabulary file is broadcast; larger files are refused.
 MAX_FILE_BYTES = 64 << 20
 #: Words, in each of two generations, and token pairs whose result a worker remembers.
-MAX_WORDS = 250_000
-MAX_PAIRS = 600_000
+MAX_WORDS = 100_000
+MAX_PAIRS = 300_000
 
 # White space in Unicode, and the splitting patterns of the vocabulary.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -223,5 +223,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = False) ->
             arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
             arrays += [pa.array(out[3], pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *arrays], schema.names)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, text).mapInArrow(run, schema)
