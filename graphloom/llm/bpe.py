@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,6 +36,8 @@ MAX_FILE_BYTES = 64 << 20
 #: Words, in each of two generations, and token pairs whose result a worker remembers.
 MAX_WORDS = 100_000
 MAX_PAIRS = 300_000
+#: Rows whose results are built at once.
+ROWS = 512
 
 # White space in Unicode, and the splitting patterns of the vocabulary.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -93,6 +96,10 @@ class Encoder:
         self.older: dict[str, tuple[int, str, str]] = {}
         self.pairs: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        for known in (self.words, self.older, self.pairs):
+            known.clear()
+
     def _compatible(self, a: int, b: int) -> bool:
         """Whether no merge across the border of ``a`` and ``b`` comes before both are complete; undoes merges, latest first."""
         rank, merge, limit = self.rank, self.merge, len(self.merge)
@@ -207,22 +214,30 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = False) ->
     keep = [c for c in docs.columns if c not in {text, *(f.name for f in made)}]
     schema = T.StructType([docs.schema[c] for c in keep] + made)
 
+    def encoded(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, sums, decoded, flat = [], [], [], [np.empty(0, np.int32)]
+        for x in byte_values(batch, text):
+            found = encoder.pieces((x or b"").decode("utf-8", "replace"))
+            n, joined, tokens = zip(*found) if found else ((), (), ())
+            joined = " ".join(joined)
+            counts.append(sum(n))
+            sums.append(hashlib.sha256(joined.encode()).hexdigest())
+            decoded.append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
+            if ids:
+                flat.append(np.array(joined.split(), np.int32))
+        arrays = [pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
+        if ids:
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat))))
+        return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *arrays], schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for x in byte_values(batch, text):
-                found = encoder.pieces((x or b"").decode("utf-8", "replace"))
-                n, joined, tokens = zip(*found) if found else ((), (), ())
-                joined = " ".join(joined)
-                out[0].append(sum(n))
-                out[1].append(hashlib.sha256(joined.encode()).hexdigest())
-                out[2].append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
-                if ids:
-                    out[3].append([int(i) for i in joined.split()])
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-            arrays += [pa.array(out[3], pa.list_(pa.int32()))] * ids
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *arrays], schema.names)
+            for begin in range(0, batch.num_rows, ROWS):
+                yield encoded(encoder, batch.slice(begin, ROWS))
+        # The next task's texts, or another operator, get the memory.
+        encoder.forget()
         pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, text).mapInArrow(run, schema)
