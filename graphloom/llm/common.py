@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,14 @@ def byte_values(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that a worker holds the Python objects of a few rows; frees Arrow's spare memory at the end."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Smallest node reachable from each node of ``edges(a bigint, b bigint)``; columns ``node``, ``root``.
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, materialize
+from .common import byte_values, materialize, sliced
 
 WINDOW_WORDS = 13
 #: Bytes of window texts in one broadcast block; an index beyond it is read block by block.
@@ -92,7 +92,7 @@ def word_counts(docs: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], ["word", "total"])
 
-        for b in batches:
+        for b in sliced(batches):
             for x in byte_values(b, text):
                 words = words_of(x)
                 seen.update(filter(known.__contains__, words) if known is not None else words)
@@ -137,7 +137,7 @@ def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     def search(block) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = block.value
-            for b in batches:
+            for b in sliced(batches):
                 later = "__words" in b.schema.names
                 before = b.column(b.schema.get_field_index("__spans")).to_pylist() if later else None
                 classes = b.column(b.schema.get_field_index("__classes")).to_pylist() if later else None

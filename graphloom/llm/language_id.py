@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values
+from .common import byte_values, sliced
 
 #: Bounds of the fitted sample: languages, texts per language, bytes per text and per dictionary.
 MAX_LANGUAGES = 64
@@ -111,7 +111,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(sent.value)
-        for b in batches:
+        for b in sliced(batches):
             found = [model.predict(x) for x in byte_values(b, text)]
             arrays = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *arrays], schema.names)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, connected_components, materialize
+from .common import byte_values, connected_components, materialize, sliced
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = pa.array([fingerprint(x) for x in byte_values(b, text)], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), fps], [*keep, "fp"])
 
