@@ -75,7 +75,8 @@ class Matcher:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.known = [(name, bigrams(normalised(x))) for name, texts in templates.items() for x in texts]
-        self.bounds = [(b.total() * threshold / (2 - threshold), b.total() * (2 - threshold) / threshold) for _, b in self.known]
+        slack = 1e-9  # a size exactly at a bound counts
+        self.bounds = [(b.total() * threshold / (2 - threshold) - slack, b.total() * (2 - threshold) / threshold + slack) for _, b in self.known]
         self.longest = max((hi for _, hi in self.bounds), default=0)
         self.any = {g for _, b in self.known for g in b}
 
