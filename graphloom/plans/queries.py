@@ -271,7 +271,7 @@ def search_parts(spark, sf):
 
 @query()
 def search_documents(spark, sf):
-    d = table(spark, sf, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.substring("text", 1, 80).alias("label"), F.lit("document").alias("kind"), F.lit("text").alias("file_type"), F.coalesce("source", F.lit("")).alias("source"))
+    d = table(spark, sf, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("label"), F.lit("document").alias("kind"), F.lit("text").alias("file_type"), F.coalesce("source", F.lit("")).alias("source"))
     from ..functions.schema import as_nodes
 
     return search.search(as_nodes(d), edges(spark, sf).where("false"), "license of the other thing").select("rank", "id", "score")
