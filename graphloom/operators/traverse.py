@@ -130,6 +130,7 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, center: str, depth: int = 1
     """
     ids = nodes.select("id")
     real = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    real = cut(real.select("source", "target"))
     return nodes.join(depths(real, center, min(depth, 3)), "id").orderBy("depth", "id").limit(limit)
 
 

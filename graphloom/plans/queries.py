@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import limits as L
 from ..functions import text
 from ..functions.schema import Batch, producer
+from ..functions.tables import cut
 from ..operators import cards, communities, filters, history, links, mutate, records, resolve, search, traverse
 from ..sources import catalog
 from .demo_graph import GRAPH_SQL, edges, nodes, table
@@ -35,6 +36,11 @@ def g(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes(spark, sf), edges(spark, sf)
 
 
+def walked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The graph for walks: edges, here made from tables, are written once rather than made again for each level."""
+    return nodes(spark, sf), cut(edges(spark, sf))
+
+
 def where(**flags: str) -> filters.Predicate:
     return filters.Predicate.parse({k.replace("_", "-"): v for k, v in flags.items()})
 
@@ -143,43 +149,45 @@ _WALK = """, walk as (
 
 @query(_WALK.format(start="region:1", depth=2, extra="") + " select n.id, n.kind, depth from least join nodes n using (id) where depth > 0")
 def affected(spark, sf):
-    return traverse.affected(*g(spark, sf), "region:1").select("id", "kind", "depth")
+    return traverse.affected(*walked(spark, sf), "region:1").select("id", "kind", "depth")
 
 
 @query(_WALK.format(start="supplier:3", depth=2, extra="and e.relation = 'supplied_by'") + " select id, depth from least where depth > 0")
 def affected_relation(spark, sf):
-    return traverse.affected(*g(spark, sf), "supplier:3", relations=("supplied_by",)).select("id", "depth")
+    return traverse.affected(*walked(spark, sf), "supplier:3", relations=("supplied_by",)).select("id", "depth")
 
 
 @query(_WALK.format(start="nation:3", depth=2, extra="") + " select n.id, depth from least join nodes n using (id) where depth > 0 and kind = 'customer'")
 def affected_then_filter(spark, sf):
-    return traverse.affected(*g(spark, sf), "nation:3").where(F.col("kind") == "customer").select("id", "depth")
+    return traverse.affected(*walked(spark, sf), "nation:3").where(F.col("kind") == "customer").select("id", "depth")
 
 
 @query(""", both_ways as (select source as a, target as b from edges union all select target, source from edges),
 walk as (select 'brand:Brand#2' as id, 0 as depth union select b, depth + 1 from walk join both_ways on a = id where depth < 2)
 select id, min(depth) as depth from walk group by id""")
 def reachable_depths(spark, sf):
-    return traverse.depths(edges(spark, sf), "brand:Brand#2", 2)
+    return traverse.depths(walked(spark, sf)[1], "brand:Brand#2", 2)
 
 
 @query(""", both_ways as (select source as a, target as b from edges where relation in ('in_nation', 'in_region') union all select target, source from edges where relation in ('in_nation', 'in_region')),
 walk as (select 'customer:1' as id, 0 as depth union select b, depth + 1 from walk join both_ways on a = id where depth < 6)
 select min(depth) as steps from walk where id = 'nation:14'""")
 def shortest_path_length(spark, sf):
-    near = edges(spark, sf).where(F.col("relation").isin("in_nation", "in_region"))
+    near = walked(spark, sf)[1].where(F.col("relation").isin("in_nation", "in_region"))
     return spark.createDataFrame([(len(traverse.shortest_path(near, "customer:1", "nation:14")),)], "steps int")
 
 
 @query()
 def shortest_path_steps(spark, sf):
-    steps = traverse.shortest_path(edges(spark, sf), "customer:1", "supplier:1")
+    steps = traverse.shortest_path(walked(spark, sf)[1], "customer:1", "supplier:1")
     return spark.createDataFrame([(i, s.source, s.target, s.relation, s.direction) for i, s in enumerate(steps)], "step int, source string, target string, relation string, direction string")
 
 
-@query()
+@query(""", both_ways as (select source as a, target as b from edges union all select target, source from edges),
+walk as (select 'nation:3' as id, 0 as depth union select b, depth + 1 from walk join both_ways on a = id where depth < 2)
+select id, kind, min(depth) as depth from walk join nodes using (id) group by id, kind order by depth, id limit 100""")
 def neighborhood(spark, sf):
-    return traverse.neighborhood(*g(spark, sf), "nation:3", 2, 100).select("id", "kind", "depth")
+    return traverse.neighborhood(*walked(spark, sf), "nation:3", 2, 100).select("id", "kind", "depth")
 
 
 @query()
@@ -193,7 +201,7 @@ def community_groups(spark, sf):
 @query(_WALK.format(start="customer:7", depth=2, extra="") + """, blast as (select id from least)
 select confidence, count(*) as n from edges where source in (select id from blast) and target in (select id from blast) group by confidence""")
 def change_plan(spark, sf):
-    return cards.change_plan(*g(spark, sf), "customer:7").confidence.withColumnRenamed("count", "n")
+    return cards.change_plan(*walked(spark, sf), "customer:7").confidence.withColumnRenamed("count", "n")
 
 
 @query()
@@ -262,11 +270,16 @@ def search_typo(spark, sf):
     return _hits(spark, sf, "widgett smal", budget=10**6)
 
 
-@query()
+@query(_SEARCH.format(words="'small', 'red', 'ring'") + """, near as (select source as id, target as other, source as s, target as t, relation as r from edges
+  union all select target, source, source, target, relation from edges where source <> target),
+top as (select id, other, row_number() over (partition by id order by s, t, r) as k from near)
+select rank, ranked.id, label, floor(ranked.s * 100 + 0.5) / 100 as score, count(k) as n_neighbors, coalesce(string_agg(other, ',' order by k), '') as neighbors
+from ranked left join top on ranked.id = top.id and k <= 12 where rank <= 20 group by rank, ranked.id, label, ranked.s""")
 def search_parts(spark, sf):
     """The flagship: ranked parts with their neighbours."""
     found = search.search(parts(spark, sf), edges(spark, sf), "small red ring", budget=10**6)
-    return found.select("rank", "id", "label", "score", F.size("neighbors").alias("n_neighbors"), F.transform("neighbors", lambda x: x["id"]).alias("neighbors"))
+    near = F.array_join(F.transform("neighbors", lambda x: x["id"]), ",").alias("neighbors")
+    return found.select(F.col("rank").cast("long").alias("rank"), "id", "label", "score", F.size("neighbors").cast("long").alias("n_neighbors"), near)
 
 
 @query()
