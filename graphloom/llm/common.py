@@ -83,6 +83,14 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     pa.default_memory_pool().release_unused()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that ``df`` does not have, whatever its columns are called."""
+    taken, mark = {c.lower() for c in df.columns}, "__"
+    while any(mark + n.lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Smallest node reachable from each node of ``edges(a bigint, b bigint)``; columns ``node``, ``root``.
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, materialize, sliced
+from .common import byte_values, fresh, materialize, sliced
 
 WINDOW_WORDS = 13
 #: Bytes of window texts in one broadcast block; an index beyond it is read block by block.
@@ -125,22 +125,26 @@ def _match(words: list[bytes], index: dict) -> Iterator[tuple[int, int, list[str
 
 
 def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All columns of ``docs``, then ``__words`` (number), ``__spans`` (merged word ranges start,end,...), ``__classes``."""
+    """All columns of ``docs``, then the number of words, the merged word ranges (start, end, ...), the matching texts.
+
+    The three are named as ``fresh(docs, "words", "spans", "classes")`` says.
+    """
     spark = docs.sparkSession
     found = materialize(windows(items, item_id, item_text), "windows")
     index = materialize(prefix_index(docs, text, found), "prefix-index")
     total = index.agg(F.sum(F.octet_length("window") + 60 + 80 * F.size("classes")).alias("b")).first().b or 0
     names = docs.columns
+    n_words, spans, matching = fresh(docs, "words", "spans", "classes")
+    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(spans, T.ArrayType(T.LongType())), T.StructField(matching, T.ArrayType(T.StringType()))])
     blocks = max(1, -(-total // BLOCK_BYTES))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__words", T.LongType()), T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__classes", T.ArrayType(T.StringType()))])
 
     def search(block) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = block.value
             for b in sliced(batches):
-                later = "__words" in b.schema.names
-                before = b.column(b.schema.get_field_index("__spans")).to_pylist() if later else None
-                classes = b.column(b.schema.get_field_index("__classes")).to_pylist() if later else None
+                later = n_words in b.schema.names
+                before = b.column(b.schema.get_field_index(spans)).to_pylist() if later else None
+                classes = b.column(b.schema.get_field_index(matching)).to_pylist() if later else None
                 out: tuple[list, list, list] = ([], [], [])
                 for k, x in enumerate(byte_values(b, text)):
                     words = words_of(x)
@@ -174,13 +178,13 @@ def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     return now
 
 
-def _hit() -> Column:
+def _hit(spans: str) -> Column:
     """Words in the merged ranges; an odd place is an end, an even one a start."""
-    return F.aggregate(F.transform("__spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _contaminated() -> Column:
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,8 +198,9 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     set of matching texts, not per document.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    n_words, spans, matching = fresh(own, "words", "spans", "classes")
     rows = find_spans(own, items).select(
-        "doc_id", F.col("__words").alias("n_words"), _hit().alias("n_hit"), F.array_join("__classes", ",").alias("classes")
+        "doc_id", F.col(n_words).alias("n_words"), _hit(spans).alias("n_hit"), F.array_join(matching, ",").alias("classes")
     )
     rows = materialize(rows, "decontamination-rows")
     sets = rows.where("classes <> ''").select("classes").distinct()
@@ -208,11 +213,11 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         rows.withColumn("key", key)
         .join(ids.withColumnRenamed("classes", "key"), "key", "left")
         .select("doc_id", "n_words", "n_hit", F.coalesce("n", F.lit(0).cast("long")).alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"))
-        .withColumn("contaminated", _contaminated())
+        .withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words")))
     )
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without contaminated rows; all columns, no shuffle of texts."""
-    found = find_spans(docs, items, text).withColumns({"n_hit": _hit(), "n_words": F.col("__words")})
-    return found.where(~_contaminated()).select(*docs.columns)
+    n_words, spans, _ = fresh(docs, "words", "spans", "classes")
+    return find_spans(docs, items, text).where(~_contaminated(_hit(spans), F.col(n_words))).select(*docs.columns)

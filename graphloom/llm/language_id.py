@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, sliced
+from .common import byte_values, fresh, sliced
 
 #: Bounds of the fitted sample: languages, texts per language, bytes per text and per dictionary.
 MAX_LANGUAGES = 64
@@ -138,6 +138,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without the rows that the classifier rejects; all columns as they were, ``lang`` too."""
     model = fit(docs.where(fold(doc_id, 5) != 0), text, lang, doc_id)
-    tagged = docs.withColumnsRenamed({c: f"__{c}" for c in docs.columns if c in ("lang_pred", "score", "rejected")})
-    found = classify(tagged, model, text).where("not rejected").drop("lang_pred", "score", "rejected")
-    return found.withColumnsRenamed({f"__{c}": c for c in docs.columns if f"__{c}" in tagged.columns}).select(*docs.columns)
+    made = ("lang_pred", "score", "rejected")
+    aside = dict(zip(made, fresh(docs, *made)))
+    found = classify(docs.withColumnsRenamed(aside), model, text).where("not rejected").drop(*made)
+    return found.withColumnsRenamed({b: a for a, b in aside.items()}).select(*docs.columns)

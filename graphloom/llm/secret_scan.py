@@ -23,6 +23,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -167,20 +169,21 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
     """All columns of ``docs``, then ``found``: array<struct<start, rank, end>>, rank being the rule's place in ``rules``.
 
     A null or empty text has no spans. Repeated rows stay; a null id is an id like
-    others. Columns named like the ones added here are replaced.
+    others. A column of ``docs`` named ``found`` is replaced.
     """
+    own_key, own_rules = fresh(docs, "key", "rules")
     key = F.sha2(F.concat_ws(":", F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit(""))), 256)
-    whole = docs.withColumn("__key", key)
+    whole = docs.withColumn(own_key, key)
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
-    hits = candidates(whole.select(F.col("__key").alias("key"), F.col(text).alias("text")), indexed)
-    met = whole.join(hits.select(F.col("key").alias("__key"), F.col("rules").alias("__rules")), "__key", "left")
+    hits = candidates(whole.select(F.col(own_key).alias("key"), F.col(text).alias("text")), indexed)
+    met = whole.join(hits.select(F.col("key").alias(own_key), F.col("rules").alias(own_rules)), own_key, "left")
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     parts = []
     for rank, rule in enumerate(rules):
-        test = F.array_contains("__rules", rule.name) if rule in indexed else F.col(text).rlike(rule.pattern)
+        test = F.array_contains(own_rules, rule.name) if rule in indexed else F.col(text).rlike(rule.pattern)
         parts.append(F.when(test, _spans(body, rule, rank)).otherwise(none))
-    return met.withColumn("found", reduce(lambda a, b: F.concat(a, b), parts)).drop("__key", "__rules")
+    return met.withColumn("found", reduce(lambda a, b: F.concat(a, b), parts)).drop(own_key, own_rules)
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,6 +202,7 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_
 
 def remove_leaks(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows in which a rule finds a secret; all columns."""
-    tagged = docs.withColumnRenamed("found", "__found") if "found" in docs.columns else docs
+    (aside,) = fresh(docs, "found")
+    tagged = docs.withColumnRenamed("found", aside)
     kept = scan(tagged, rules, doc_id, text).where(F.size("found") == 0).drop("found")
-    return kept.withColumnRenamed("__found", "found").select(*docs.columns)
+    return kept.withColumnRenamed(aside, "found").select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, connected_components, materialize, sliced
+from .common import byte_values, connected_components, fresh, materialize, sliced
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -207,7 +207,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     edges = links(distinct.select("fp"), distinct.count() > WIDE_FROM)
     roots = connected_components(edges, "simhash-cc").withColumnRenamed("node", "fp")
     kept = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = materialize(kept.select(F.col("first.doc_id").alias("__id"), F.col("first.sign").alias("__sign")).distinct(), "simhash-kept")
-    chosen = docs.withColumns({"__id": F.col(doc_id), "__sign": sign})
-    on = chosen["__id"].eqNullSafe(kept["__id"]) & (chosen["__sign"] == kept["__sign"])
-    return chosen.join(kept, on, "left_semi").dropDuplicates(["__id", "__sign"]).drop("__id", "__sign")
+    kept = materialize(kept.select(F.col("first.doc_id").alias("id"), F.col("first.sign").alias("sign")).distinct(), "simhash-kept")
+    # One key for the join and for taking one of identical rows: the texts are shuffled once.
+    (name,) = fresh(docs, "key")
+    key = lambda i, s: F.concat(F.when(i.isNull(), ":").otherwise(F.concat(i.cast("string"), F.lit(":"))), s.cast("string"))
+    chosen = docs.withColumn(name, key(F.col(doc_id), sign))
+    wanted = kept.select(key(F.col("id"), F.col("sign")).alias(name))
+    return chosen.join(wanted, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

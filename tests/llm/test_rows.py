@@ -46,8 +46,8 @@ def test_decontamination(spark, monkeypatch, block):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.report(d.select("doc_id", "text"), b)
     assert sorted(map(tuple, got.collect()), key=str) == brute_decontamination(docs, items)
-    clean = decontam.remove_contaminated(d.drop("__words"), b)
-    assert clean.columns == ["doc_id", "text"] and clean.count() == sum(not r[-1] for r in brute_decontamination(docs, items))
+    clean = decontam.remove_contaminated(d, b)
+    assert clean.columns == ["doc_id", "text", "__words"] and clean.where("__words <> 1").count() == 0 and clean.count() == sum(not r[-1] for r in brute_decontamination(docs, items))
     assert decontam.report(d.where("false"), b).count() == 0
     assert decontam.report(d, b.where("false")).where("n_hit > 0").count() == 0
 
@@ -75,7 +75,7 @@ def test_secrets(spark, odd, empty):
     got = secret_scan.report(df).collect()
     assert len(got) == 2 * len(texts) and all(r.spans == brute_spans(texts[r.doc_id]) for r in got)
     kept = secret_scan.remove_leaks(df)
-    assert kept.columns == df.columns and kept.count() == 2 * sum(not brute_spans(t) for t in texts)
+    assert kept.columns == df.columns and kept.where("found <> 'y'").count() == 0 and kept.count() == 2 * sum(not brute_spans(t) for t in texts)
     assert secret_scan.report(odd).count() == len(ODD) and secret_scan.report(empty).count() == 0
 
 
