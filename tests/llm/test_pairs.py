@@ -152,6 +152,28 @@ def test_no_passage_is_lost(spark):
     assert got == want
 
 
+def test_near_passages_beside_edited_stretches():
+    """A passage that is near enough counts, whatever its surroundings."""
+    for seed in range(40):
+        words = prose(300 + seed, 260).split()
+        edited = words[:80] + words[80:]
+        edited[40] = "new"
+        for k in range(84, 180, 8):
+            edited[k] = f"new{k}"
+        for tail in (180, 120):
+            x, y = (substring_dedup.shingles([w.encode() for w in t[:tail]]) for t in (words, edited))
+            for p, q in ((x, y), (y, x)):
+                found = substring_dedup.verify(p, q)
+                assert found and any(a <= 4 and b >= 70 for a, b, _, _ in found)
+                for a, b, c, d in found:
+                    both = len(set(p[a:b].tolist()) & set(q[c:d].tolist()))
+                    assert min(b - a, d - c) >= 46 and both >= 0.8 * (len(set(p[a:b].tolist()) | set(q[c:d].tolist())))
+    # Two places of one passage are both reported.
+    words, other = prose(400, 60).split(), prose(401, 60).split()
+    x, y = (substring_dedup.shingles([w.encode() for w in t]) for t in (words, words + other + words))
+    assert {f[2:] for f in substring_dedup.verify(x, y)} == {(0, 56), (120, 176)}
+
+
 def brute_links(rows):
     x = {i: np.array(v, float) for i, v in rows.items()}
     unit = {i: v / np.linalg.norm(v) for i, v in x.items() if v.size and np.isfinite(v).all() and v.any()}
