@@ -152,6 +152,19 @@ def test_no_passage_is_lost(spark):
     assert got == want
 
 
+def test_passages_among_filled_templates(spark):
+    """Copies are found among many texts that share most of their words, which are no copies."""
+    stock = prose(700, 60).split()
+    docs = []
+    for i in range(60):
+        filled = stock[:]
+        for k in range(5, 60, 12):
+            filled[k] = f"slot{i}x{k}"
+        docs += [(i + 100 * k, " ".join(prose(800 + 2 * i + k, 30, 4000).split() + filled + prose(950 + 2 * i + k, 30, 4000).split())) for k in (0, 1)]
+    got = {r.doc_id: (r.class_id, r.spans) for r in substring_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: (i % 100, "30:90") for i, _ in docs}
+
+
 def test_near_passages_beside_edited_stretches():
     """A passage that is near enough counts, whatever its surroundings."""
     for seed in range(40):
