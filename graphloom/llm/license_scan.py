@@ -1,14 +1,17 @@
 """Licence scans: normalised passages against licence templates by the Dice coefficient of word bigrams.
 
-Passages are the lines of a text, its blocks of lines without a blank one, and the text
-as a whole. With a threshold t, a template of b bigrams can only match a passage of a
+Passages are the lines of a text, its blocks of lines without a blank one (lines of
+comment marks are blank), the text as a whole, and, so that neither wrapping nor
+surroundings matter, all windows of words within a template's size bounds. With a threshold t, a template of b bigrams can only match a passage of a
 bigrams if a lies between b t / (2 - t) and b (2 - t) / t; other templates are not
 compared. Bigrams are counted with their repetitions.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,6 +56,7 @@ TEMPLATES = {
 }
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+_MARKS = re.compile(r"[\s/*#;%!>|-]*")
 _NOTICE = re.compile(r"^\W*(?:copyright|\(c\)|©)[^\n]*?(?=all rights reserved|$)", re.I | re.M)
 
 
@@ -71,6 +75,19 @@ def dice(a: Counter, b: Counter) -> float:
     return 2 * (a & b).total() / total if total else 0.0
 
 
+def placed(text: str) -> tuple[list[str], list[int], list[int]]:
+    """``normalised`` words of a text with their starts and ends in it."""
+    words, starts, ends = [], [], []
+    at = 0
+    for notice in [*_NOTICE.finditer(text), None]:
+        for m in _WORD.finditer(text, at, notice.start() if notice else len(text)):
+            words.append(m.group().lower().replace("licence", "license"))
+            starts.append(m.start())
+            ends.append(m.end())
+        at = notice.end() if notice else at
+    return words, starts, ends
+
+
 class Matcher:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
@@ -79,6 +96,12 @@ class Matcher:
         self.bounds = [(b.total() * threshold / (2 - threshold) - slack, b.total() * (2 - threshold) / threshold + slack) for _, b in self.known]
         self.longest = max((hi for _, hi in self.bounds), default=0)
         self.any = {g for _, b in self.known for g in b}
+        self.where: dict[tuple[str, str], list[int]] = {}
+        for k, (_, b) in enumerate(self.known):
+            for g in b:
+                self.where.setdefault(g, []).append(k)
+        # Bigrams that the smallest matching window shares with a template, 2 s >= t (n + b) and n >= s.
+        self.shared = [math.ceil(b.total() * threshold / (2 - threshold) - slack) for _, b in self.known]
 
     def match(self, passage: str) -> tuple[str, float] | None:
         """Best template and its coefficient; ties go to the first."""
@@ -92,6 +115,42 @@ class Matcher:
                 best = name, d
         return best
 
+    def windows(self, text: str) -> list[tuple[int, int, str, float]]:
+        """The best windows (start, end, template, coefficient) of each template that overlap no better one of it.
+
+        A best window begins and ends with bigrams of the template, so only those are tried.
+        """
+        words, starts, ends = placed(text)
+        at: dict[int, list[int]] = {}
+        pairs = list(zip(words, words[1:]))
+        for i, g in enumerate(pairs):
+            for k in self.where.get(g, ()):
+                at.setdefault(k, []).append(i)
+        out = []
+        for k, places in at.items():
+            (name, b), (lo, hi), least = self.known[k], self.bounds[k], max(self.shared[k], 1)
+            size, found = b.total(), []
+            for i in range(len(places) - least + 1):
+                if places[i + least - 1] - places[i] + 1 > hi:
+                    continue
+                left, same = dict(b), 0
+                for p in places[i:]:
+                    n = p - places[i] + 1
+                    if n > hi:
+                        break
+                    if left[pairs[p]] > 0:
+                        left[pairs[p]] -= 1
+                        same += 1
+                        if n >= lo and (d := 2 * same / (n + size)) >= self.threshold:
+                            found.append((d, places[i], p))
+            taken: list[tuple[int, int]] = []
+            for d, i, p in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
+                if (z := bisect_right(taken, (i, p))) and taken[z - 1][1] + 1 >= i or z < len(taken) and taken[z][0] <= p + 1:
+                    continue
+                taken.insert(z, (i, p))
+                out.append((starts[i], ends[p + 1], name, d))
+        return out
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """Matching passages (start, end, template, coefficient); none inside a larger one with the same template."""
         found, at, block = [], 0, None
@@ -99,7 +158,7 @@ class Matcher:
         spans = []
         for line in [*lines, ""]:
             end = at + len(line)
-            if line.strip():
+            if not _MARKS.fullmatch(line):
                 spans.append((at, end))
                 block = (block[0] if block else at, end, block[2] + 1 if block else 1)
             elif block:
@@ -111,6 +170,10 @@ class Matcher:
         for a, b in sorted(set(spans), key=lambda s: (s[0] - s[1], s)):
             if (m := self.match(text[a:b])) and not any(x <= a and b <= y and m[0] == z for x, y, z, _ in found):
                 found.append((a, b, *m))
+        # Windows tell what lines, blocks and the whole do not; the better of two that overlap stays.
+        for a, b, name, d in sorted(self.windows(text), key=lambda w: (-w[3], w[0] - w[1], w)):
+            if not any(x < b and a < y and (z == name or c >= d) for x, y, z, c in found):
+                found.append((a, b, name, d))
         return sorted(found)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -121,6 +122,23 @@ def test_licenses(spark, odd, empty):
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(empty).count() == 0
 
 
+def test_licenses_in_any_wrapping():
+    m, grant, gpl = license_scan.Matcher(), license_scan.TEMPLATES["MIT"][2], license_scan.TEMPLATES["GPL-3.0"][1]
+    more = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    rest = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.'
+    mit = ["MIT License", "Copyright (c) 2020 Some One", grant, more, rest]
+    for mark in ("", " * ", "# ", "// ", "dnl "):
+        for width in (50, 72, 10_000):
+            for parts, name, start in ((mit, "MIT", "Permission"), (["Foo, a tool.", gpl, more, rest], "GPL-3.0", "This")):
+                text = ("\n" + mark.rstrip() + "\n").join("\n".join(mark + x for x in textwrap.wrap(p, width)) for p in parts)
+                found = [f for f in m.scan(text) if f[2] == name]
+                assert len(found) == 1 and start in text[found[0][0] : found[0][1]], (mark, width, name)
+    assert [f[2] for f in m.scan(" ".join(mit))] == ["MIT"]
+    line = "Foo is a small tool for many things. Released under the MIT License. See the docs for more."
+    assert [(line[a:b], n, d) for a, b, n, d in m.scan(line)] == [("Released under the MIT License", "MIT", 1.0)]
+    assert [f[2] for f in m.scan("x " * 50 + line + " y" * 50 + " Licensed under CC BY 4.0. " + line)] == ["MIT", "CC-BY-4.0", "MIT"]
+
+
 def test_license_bounds_lose_nothing():
     """The size bounds give what comparing every template gives."""
     m, rng = license_scan.Matcher(), random.Random(1)
