@@ -112,7 +112,9 @@ def test_compact_windows():
     rng = np.random.default_rng(1)
     for n, top in ((60, 1000), (60, 4), (9, 3)):
         h = rng.integers(0, top, n).astype(np.uint64)
-        found = list(substring_dedup.compact_windows(h, 10))
+        found = list(zip(*(c.tolist() for c in substring_dedup.compact_windows(h, least=10))))
+        both = substring_dedup.compact_windows(np.concatenate((h[:9], h)), np.repeat([0, 1], [9, n]), 10)
+        assert [(l - 9, x - 9, r - 9) for l, x, r in zip(*(c.tolist() for c in both))] == found
         for a in range(n):
             for b in range(a + 9, n):
                 low = h[a : b + 1].min()
@@ -178,6 +180,8 @@ def test_near_passages_beside_edited_stretches():
             for p, q in ((x, y), (y, x)):
                 found = substring_dedup.verify(p, q)
                 assert found and any(a <= 4 and b >= 70 for a, b, _, _ in found)
+                rest = substring_dedup.shingles([w.encode() for w in prose(990, 400).split()])
+                assert not substring_dedup.verify(p, rest)
                 for a, b, c, d in found:
                     both = len(set(p[a:b].tolist()) & set(q[c:d].tolist()))
                     assert min(b - a, d - c) >= 46 and both >= 0.8 * (len(set(p[a:b].tolist()) | set(q[c:d].tolist())))
@@ -187,6 +191,65 @@ def test_near_passages_beside_edited_stretches():
     assert {f[2:] for f in substring_dedup.verify(x, y)} == {(0, 56), (120, 176)}
 
 
+def test_two_phrases_that_are_frequent_apart(spark):
+    """Texts that share two phrases side by side are found among many that hold one of them; the phrases alone are no passage."""
+    docs, n = [], 0
+    for p in range(10):
+        a, b = prose(20_000 + p, 30).split(), prose(21_000 + p, 30).split()
+        for middle in [a + b] * 2 + [a] * 40 + [b] * 40:
+            docs.append((n, " ".join(prose(22_000 + 2 * n, 40, 4000).split() + middle + prose(22_001 + 2 * n, 40, 4000).split())))
+            n += 1
+    got = {r.doc_id: (r.class_id, r.spans) for r in substring_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {82 * p + k: (82 * p, "40:100") for p in range(10) for k in (0, 1)}
+
+
+def brute_alike(x, y, size):
+    """Whether some ranges of so many shingles on one diagonal, give or take an edit, are alike."""
+    for i in range(0, len(x) - size + 1, 2):
+        p = set(x[i : i + size])
+        for j in range(0, len(y) - size + 1, 2):
+            q = set(y[j : j + size])
+            if len(p & q) >= 0.8 * len(p | q):
+                return True
+    return False
+
+
+def test_near_passages_are_recalled(spark):
+    """Passages of 60 to 120 words with an edit in about each 60 words, among texts that share phrases; recall against all pairs."""
+    rng = random.Random(77)
+    stock = [prose(30_000 + k, 25).split() for k in range(3)]
+    docs, want = [], {}
+    for p in range(60):
+        own = prose(31_000 + p, rng.randint(60, 120), 3000).split()
+        for k in range(2):
+            w = own[:]
+            if k:
+                for at in range(rng.randint(15, 45), len(w), 60):
+                    w[at : at + rng.randint(0, 1)] = [f"edit{p}"]
+            docs.append((10 * p + k, " ".join(prose(32_000 + 2 * p + k, 30, 3000).split() + rng.choice(stock) + w + prose(33_000 + 2 * p + k, 30, 3000).split())))
+        x, y = (substring_dedup.shingles([w.encode() for w in t.split()]).tolist() for _, t in docs[-2:])
+        want[10 * p] = brute_alike(x, y, 46)
+    got = {r.doc_id: r.class_id for r in substring_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = sum(got.get(i + 1) == i for i, alike in want.items() if alike)
+    assert sum(want.values()) >= 40 and found >= 0.95 * sum(want.values()), (found, sum(want.values()))
+    assert all(c == i - i % 10 for i, c in got.items())
+
+
+def test_passages_of_copies(spark):
+    """Documents of equal texts are one class; a hot passage in many texts, dealt over many ranges, is one class, too."""
+    same, short, hot = prose(41, 80), prose(42, 20), prose(43, 70)
+    docs = [(i, same) for i in range(30)] + [(100 + i, short) for i in range(3)] + [(200, same + " " + prose(44, 30)), (None, same)]
+    docs += [(1000 + i, f"{prose(5000 + i, 60, 3000)} {hot} {prose(7000 + i, 60, 3000)}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.class_id, r.spans) for r in substring_dedup.report(df).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {i: 0 if i is None or i < 999 else 1000 for i, _ in docs if i not in (100, 101, 102)}
+    assert got[5][1] == "0:80" and got[200][1] == "0:80"
+    # The words beside it may be equal by chance.
+    for i in range(300):
+        a, b = map(int, got[1000 + i][1].split(":"))
+        assert 57 <= a <= 60 and 130 <= b <= 133
+
+
 def brute_links(rows):
     x = {i: np.array(v, float) for i, v in rows.items()}
     unit = {i: v / np.linalg.norm(v) for i, v in x.items() if v.size and np.isfinite(v).all() and v.any()}
