@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TABLES: list[tuple[SparkSession, str]] = []
@@ -83,6 +83,30 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
     pa.default_memory_pool().release_unused()
 
 
+def without(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` that are none of ``names``, in whatever case: those names are for a result's columns."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def prefix_sums(sizes: Column) -> Column:
+    """For each element of an array of longs the sum of those before it.
+
+    Appending to an array copies it, so sums run over pieces of about the root of its size.
+    """
+    none = F.array().cast("array<bigint>")
+    piece = F.greatest(F.ceil(F.sqrt(F.size(sizes))), F.lit(1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(sizes) / piece).cast("int"), F.lit(1)) - 1), lambda i: F.slice(sizes, i * piece + 1, piece))
+
+    def run(of: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), none.alias("out"))
+        return F.aggregate(of, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+    zero = F.lit(0).cast("long")
+    begins = run(F.transform(pieces, lambda p: F.aggregate(p, zero, lambda s, x: s + x)), zero)
+    return F.flatten(F.transform(F.arrays_zip(pieces.alias("p"), begins.alias("b")), lambda z: run(z["p"], z["b"])))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names made from ``names`` that ``df`` does not have, whatever its columns are called."""
     taken, mark = {c.lower() for c in df.columns}, "__"

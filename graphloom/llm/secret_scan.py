@@ -23,7 +23,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, prefix_sums
 
 
 @dataclass(frozen=True)
@@ -146,17 +146,11 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     pieces = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x).cast("long"))
     matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x).cast("long"))
     judged = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else matches
-    steps = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("size"), judged.alias("judged"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        kept = F.when(x["judged"] >= rule.least, F.array_append(state["out"], span)).otherwise(state["out"])
-        return F.struct(end.alias("at"), kept.alias("out"))
-
-    return F.aggregate(steps, start, step, lambda s: s["out"])
+    gaps = F.slice(pieces, 1, F.size(matches))
+    before = prefix_sums(F.zip_with(gaps, matches, lambda x, y: x + y))
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), matches.alias("size"), judged.alias("judged"), before.alias("at")), lambda x: x["judged"] >= rule.least)
+    begin = lambda x: x["at"] + x["gap"]
+    return F.transform(steps, lambda x: F.struct(begin(x).alias("start"), F.lit(rank).alias("rank"), (begin(x) + x["size"]).alias("end")))
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -187,7 +181,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_<base kind>``, ``base_sha256``, ``spans`` per row of ``docs``; other columns are not read."""
+    """``doc_id``, ``n_<base kind>``, ``base_sha256``, ``spans`` per row of ``docs``; other columns are not read.
+
+    A null or empty text has no spans: counts of 0, the digest of the empty string. Texts
+    are searched whole. Repeated rows give repeated rows, a null doc_id stays null. An
+    empty table gives an empty result.
+    """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = scan(own, rules, "doc_id", "text")
     count = lambda n: F.size(F.filter("found", lambda s: s["rank"] == n)).cast("long")
@@ -201,7 +200,11 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_
 
 
 def remove_leaks(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows in which a rule finds a secret; all columns."""
+    """``docs`` without the rows in which a rule finds a secret; all columns, also one named ``found``.
+
+    Rows with a null or empty text stay, repeated rows stay or go together, and so do
+    rows with equal texts whatever their ids. An empty table gives an empty result.
+    """
     (aside,) = fresh(docs, "found")
     tagged = docs.withColumnRenamed("found", aside)
     kept = scan(tagged, rules, doc_id, text).where(F.size("found") == 0).drop("found")
