@@ -11,6 +11,7 @@ The parser is deterministic: it cuts after each turn end, takes the role up to t
 first ": ", and drops quoting backslashes. A text is first rendered as it is; if the
 parser does not give back exactly that one turn, the next escaping level is tried
 (backslashes, then control strings too) until it does. So most texts stay as they are.
+The whole conversation is then parsed and compared with its source.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import prefix_sums
+
 # The template.
 BEGIN, MIDDLE, END = "### ", ": ", " </turn>\n"
 LOSS_ROLE = "assistant"
@@ -76,25 +79,30 @@ def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    rendered = escape(own).select("conv_id", F.struct("turn", "role", "body").alias("t"))
+    # Most bodies are the text: only others are carried beside it.
+    body = F.when(F.col("body") != F.col("text"), F.col("body")).alias("body")
+    rendered = escape(own).select("conv_id", F.struct("turn", "role", "text", body).alias("t"))
     grouped = rendered.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    pieces = F.transform("ts", lambda t: render_turn(t["role"], t["body"]))
-    ends = F.transform("ts", lambda t: F.struct((F.length(F.url_encode(t["role"])) + len(BEGIN) + len(MIDDLE)).alias("head"), F.length(t["body"]).alias("body"), (t["role"] == LOSS_ROLE).alias("loss")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["head"]
-        end = begin + x["body"]
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct((end + len(END)).alias("at"), F.when(x["loss"], F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
-
-    mask = F.aggregate(ends, start, step, lambda s: s["out"])
-    formatted = F.array_join(pieces, "")
-    return grouped.select("conv_id", formatted.alias("formatted"), mask.alias("mask")).withColumn("turns", parse(F.col("formatted")))
+    shown = lambda t: F.coalesce(t["body"], t["text"])
+    formatted = F.array_join(F.transform("ts", lambda t: render_turn(t["role"], shown(t))), "")
+    head = lambda t: F.length(F.url_encode(t["role"])) + len(BEGIN) + len(MIDDLE)
+    starts = prefix_sums(F.transform("ts", lambda t: (head(t) + F.length(shown(t)) + len(END)).cast("long")))
+    bodies = F.filter(F.arrays_zip(F.col("ts").alias("t"), starts.alias("at")), lambda z: z["t"]["role"] == LOSS_ROLE)
+    begin = lambda z: z["at"] + head(z["t"])
+    mask = F.transform(bodies, lambda z: F.struct(begin(z).alias("start"), (begin(z) + F.length(shown(z["t"]))).alias("end")))
+    source = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    found = grouped.select("conv_id", formatted.alias("formatted"), mask.alias("mask"), source.alias("source")).withColumn("turns", parse(F.col("formatted")))
+    same = F.when(F.col("turns") == F.col("source"), F.col("turns")).otherwise(F.raise_error(F.lit("a conversation does not survive the round trip")))
+    return found.select("conv_id", "formatted", "mask", same.alias("turns"))
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """Counts and digests read back from the formatted conversations."""
+    """Counts and digests read back from the formatted conversations.
+
+    Nulls, ties and repeated rows as ``format_conversations`` says; a role other than the
+    loss role counts as a turn without loss. Texts are rendered whole. An empty table
+    gives an empty result.
+    """
     found = format_conversations(rows)
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     under = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")
