@@ -4,9 +4,8 @@ One zstandard raw-content dictionary per language, made from a bounded sample of
 labelled texts. A text is put into lower case and everything but its letters becomes a space; then all
 of it, in chunks, is compressed with each dictionary, and the language with the
 smallest total is chosen. A narrow margin to the second smallest rejects the choice:
-it is still returned, with ``rejected``. Sizes are whole bytes, so a text of a few
-letters often ties; that says nothing against it, and texts under ``MIN_JUDGED``
-bytes are not rejected for their margin.
+it is still returned, with ``rejected``. Sizes are whole bytes, so a margin counts as
+narrow if it is so even when it is a byte larger than it seems.
 """
 
 from __future__ import annotations
@@ -21,44 +20,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values, fresh, sliced
+from .common import byte_values, fresh, sliced, without
 
-#: Bounds of the fitted sample: languages, texts per language, bytes per text and per dictionary.
-MAX_LANGUAGES = 64
+#: Bounds of the fitted sample: texts per language, characters per text, bytes per dictionary.
 SAMPLE_TEXTS = 120
 SAMPLE_TEXT_BYTES = 1500
 DICTIONARY_BYTES = 32 << 10
 CHUNK_BYTES = 2048
-#: A choice whose size isn't smaller than the second by this part is rejected, if the prepared text has so many bytes.
+#: A choice whose size isn't smaller than the second by this part, less a byte for rounding, is rejected.
 MIN_MARGIN = 0.002
-MIN_JUDGED = 64
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
-    """Dictionaries by language, from the ``SAMPLE_TEXTS`` labelled texts with the smallest hash of each language.
+    """Dictionaries by language, from the ``SAMPLE_TEXTS`` distinct labelled texts with the smallest hash of each language.
 
-    Rows without a text or language are not used. Hashes are ranked first, without the
-    texts, and only the chosen rows are read again; the ranking keeps at most
-    ``SAMPLE_TEXTS`` rows of a language per task before its shuffle. The most frequent
-    ``MAX_LANGUAGES`` languages are learned (ties by name).
+    Rows without a text or language are not used. Every language is learned, so the
+    sample and the dictionaries grow with the number of languages. Hashes are ranked
+    first, without the texts; the ranking keeps at most ``SAMPLE_TEXTS`` rows of a
+    language per task before its shuffle, and only the chosen texts are read again.
     """
-    own = labelled.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null and length(t) > 0")
-    own = own.withColumn("h", F.xxhash64(F.lit(17), "i", F.substring("t", 1, 64)))
-    top = own.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).select("l")
+    own = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null and length(t) > 0")
+    own = own.withColumn("h", F.xxhash64(F.lit(17), "t"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    chosen = own.select("l", "h").withColumn("r", rank).where(F.col("r") <= SAMPLE_TEXTS).join(top, "l", "left_semi")
-    limits = chosen.groupBy("l").agg(F.max("h").alias("h")).collect()
-    if not limits:
-        return {}
-    wanted = F.lit(False)
-    for x in limits:
-        wanted = wanted | ((F.col("l") == x.l) & (F.col("h") <= x.h))
-    rows = own.where(wanted).select("l", "h", F.substring("t", 1, SAMPLE_TEXT_BYTES).alias("t")).orderBy("l", "h").limit(2 * SAMPLE_TEXTS * MAX_LANGUAGES).collect()
+    chosen = own.select("l", "h").distinct().withColumn("r", rank).where(F.col("r") <= SAMPLE_TEXTS).drop("r")
+    # SAMPLE_TEXTS pairs of a language and a hash for each language.
+    picked = own.join(F.broadcast(chosen), ["l", "h"]).select("l", "h", F.substring("t", 1, SAMPLE_TEXT_BYTES).alias("t"))
     parts: dict[str, list[bytes]] = {}
-    for x in rows:
+    for x in picked.groupBy("l", "h").agg(F.min("t").alias("t")).orderBy("l", "h").collect():
         parts.setdefault(x.l, []).append(prepared(x.t))
     return {k: b"".join(v)[:DICTIONARY_BYTES] for k, v in sorted(parts.items())}
 
@@ -93,8 +84,8 @@ class Classifier:
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = sizes[:best] + sizes[best + 1 :]
         score = 1 / (1 + sum([math.exp(-50 * (s - sizes[best]) / s) for s in rest]))
-        narrow = bool(rest) and min(rest) - sizes[best] < MIN_MARGIN * min(rest)
-        return self.languages[best], score, narrow and len(whole) >= MIN_JUDGED
+        narrow = bool(rest) and min(rest) - sizes[best] + 1 <= MIN_MARGIN * min(rest)
+        return self.languages[best], score, narrow
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
@@ -106,7 +97,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    names = [c for c in docs.columns if c not in {f.name for f in made}]
+    names = without(docs, *(f.name for f in made))
     schema = T.StructType([docs.schema[c] for c in names] + made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +118,10 @@ def fold(doc_id: str, folds: int) -> Column:
 def identify(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Fit on the rows whose fold of 5 isn't 0, classify all: ``doc_id``, ``held_out``, ``lang_pred``, ``score``, ``rejected``.
 
-    A null doc_id is not held out and not learned from.
+    A null doc_id is not held out and not learned from; neither are rows with a null
+    language or a null or empty text. Repeated rows give repeated rows and are learned
+    once. An empty table gives an empty result; without any row to learn from everything
+    is ``und``. Only doc_id, text and lang are read.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), "text", "lang")
     model = fit(own.where(fold("doc_id", 5) != 0))
@@ -136,7 +130,11 @@ def identify(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; all columns as they were, ``lang`` too."""
+    """``docs`` without the rows that the classifier rejects; all columns as they were, ``lang`` too.
+
+    Rows with a null text or one without letters go. Repeated rows stay or go together.
+    An empty table gives an empty result.
+    """
     model = fit(docs.where(fold(doc_id, 5) != 0), text, lang, doc_id)
     made = ("lang_pred", "score", "rejected")
     aside = dict(zip(made, fresh(docs, *made)))
