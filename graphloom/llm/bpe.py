@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import byte_values
+from .common import byte_values, without
 
 #: The vocabulary file is broadcast; larger files are refused.
 MAX_FILE_BYTES = 64 << 20
@@ -92,8 +92,9 @@ class Encoder:
         for i, x in text.items():
             self.automaton.add_word(x, (i, len(x)))
         self.automaton.make_automaton()
-        self.words: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.shown = {i: str(i) for i in self.names}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
 
     def forget(self) -> None:
@@ -141,14 +142,12 @@ class Encoder:
             at = start[at]
         return out[::-1]
 
-    def _word(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, ids and tokens of a word, remembered in two generations so that frequent words stay."""
+    def _word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word, remembered in two generations so that frequent words stay."""
         done = self.older.get(word)
         if done is None:
             letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
-            ids = self.word_ids(letters + " ")
-            names = self.names
-            done = len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])
+            done = tuple(self.word_ids(letters + " "))
         if len(word) <= 64:
             if len(self.words) >= MAX_WORDS:
                 self.older.clear()
@@ -164,25 +163,22 @@ class Encoder:
         part = part.translate(self.lower) if "\u03a3" in part else part.lower()
         return (_ANY if _BEYOND.search(part) else _LATIN).findall(part)
 
-    def pieces(self, text: str) -> list[tuple[int, str, str]]:
-        """Of each word and special token in order: number of ids, ids, tokens (joined by spaces)."""
+    def encode(self, text: str) -> list[int]:
         get, word = self.words.get, self._word
-        if "<|" not in text:
-            return [get(w) or word(w) for w in self._split(text)]
-        out = []
-        for part in self.cut.split(text):
+        out: list[int] = []
+        for part in self.cut.split(text) if "<|" in text else (text,):
             if part in self.special:
-                out.append((1, str(self.special[part]), part))
+                out.append(self.special[part])
             else:
-                out += [get(w) or word(w) for w in self._split(part)]
+                out += itertools.chain.from_iterable([get(w) or word(w) for w in self._split(part)])
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split()]
-
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces: the file names no decoder. Ids that it doesn't have are left out."""
-        return " ".join([self.names[i] for i in ids if i in self.names])
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.names[i] for i in ids if i in self.names])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -202,8 +198,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = False) ->
 
     A null text counts as empty: no token, digests of the empty string. Row by row,
     so repeated rows and ids stay; result columns replace columns of ``docs`` with
-    the same names. Words of any length are encoded whole. The decoded digest is of
-    ``decode`` applied to the ids.
+    the same names, in whatever case. Words of any length are encoded whole. The decoded
+    digest is of ``decode`` applied to the ids. An empty table gives an empty result.
     """
     raw = Path(path).read_bytes()
     if len(raw) > MAX_FILE_BYTES:
@@ -211,20 +207,18 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: bool = False) ->
     shared = docs.sparkSession.sparkContext.broadcast(raw)
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     made += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids
-    keep = [c for c in docs.columns if c not in {text, *(f.name for f in made)}]
+    keep = without(docs, text, *(f.name for f in made))
     schema = T.StructType([docs.schema[c] for c in keep] + made)
 
     def encoded(encoder: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, sums, decoded, flat = [], [], [], [np.empty(0, np.int32)]
         for x in byte_values(batch, text):
-            found = encoder.pieces((x or b"").decode("utf-8", "replace"))
-            n, joined, tokens = zip(*found) if found else ((), (), ())
-            joined = " ".join(joined)
-            counts.append(sum(n))
-            sums.append(hashlib.sha256(joined.encode()).hexdigest())
-            decoded.append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
+            found = encoder.encode((x or b"").decode("utf-8", "replace"))
+            counts.append(len(found))
+            sums.append(hashlib.sha256(" ".join(map(encoder.shown.__getitem__, found)).encode()).hexdigest())
+            decoded.append(hashlib.sha256(encoder.decode(found).encode()).hexdigest())
             if ids:
-                flat.append(np.array(joined.split(), np.int32))
+                flat.append(np.array(found, np.int32))
         arrays = [pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(decoded, pa.string())]
         if ids:
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
