@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_values
+from .common import byte_values, sliced, without
 
-WINDOW, STRIDE = 40, 30
+WINDOW, STRIDE = 40, 20
 WORDS, TRIGRAMS, WIDTH, HIDDEN, ATTENTION = 1 << 14, 1 << 13, 12, 8, 8
 #: Bounds of the fitted sample: texts of either label, characters of a text.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 2000, 4000
@@ -300,7 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Mo
     take = lambda v, n: able.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
     ids = {r.doc_id: int(r.toxic) for v, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)) for r in take(v, n)}
     rows = docs.where(F.col("doc_id").isin(list(ids))).where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text")
-    texts = sorted({(r.doc_id, r.text) for r in rows.limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()})
+    # Of an id with several texts the least one is taken.
+    texts = sorted((r.doc_id, r.text) for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect())
     return train([t.encode() for _, t in texts], [ids[i] for i, _ in texts])
 
 
@@ -308,12 +309,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` but ``text``, then ``score``. A null or empty text has the score of a window without words."""
     model.moments = {}
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in (text, "score")]
+    names = without(docs, text, "score")
     schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for b in batches:
+        for b in sliced(batches):
             found = pa.array(list(scorer.score(iter(byte_values(b, text)))), pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), found], schema.names)
 
@@ -323,7 +324,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` per row of ``docs``; other columns are not read.
 
-    Repeated rows stay. A null doc_id is not held out and not learned from.
+    Repeated rows stay. A null doc_id is not held out and not learned from; neither are
+    null labels, null and empty texts, or labels whose id no document has. A null or empty
+    text has the score of a window without words; long texts are scored whole. Without
+    labels every score is low; without documents the result is empty.
     """
     own = docs.select("doc_id", "text")
     found = score(own, fit(own, labels))
