@@ -29,7 +29,8 @@ from .common import connected_components, materialize
 THRESHOLD = 0.9
 #: The fitted part: sampled vectors, codes per half (for about CELL_VECTORS vectors a cell), recall at the threshold.
 SAMPLE = 16384
-MAX_CODES = 2048
+SAMPLE_BYTES = 128 << 20
+MAX_CODES = 8192
 CELL_VECTORS = 12
 TARGET_RECALL = 0.98
 MEMBERS, VISITORS, ROWS = 4096, 16384, 1024
@@ -91,7 +92,12 @@ class Grid:
         """The cells (first code * number of second codes + second code) that each row visits; the own cell first.
 
         The visited cells are among the pairs of ranks (p, q) with (p+1)(q+1) <= visits.
+        Rows are taken so many at once that their sums need about 64 MB.
         """
+        n = max(1, int((1 << 23) // (self.visits * (1 + np.log(self.visits)) + len(self.first) + len(self.second))))
+        return np.concatenate([self._visit(x[k : k + n]) for k in range(0, len(x), n)])
+
+    def _visit(self, x: np.ndarray) -> np.ndarray:
         a, b = self.halves(x)
         n = self.visits
         m1, m2 = min(n, a.shape[1]), min(n, b.shape[1])
@@ -190,7 +196,8 @@ def _meet(kind: str, dim: int, width: int) -> Callable[[pa.Table], pa.Table]:
 def _search(classes: DataFrame, total: int, kind: str, dim: int) -> DataFrame:
     """Rows (a, a, number of links) and edges (a, b, 0) among the classes of one dimension."""
     spark = classes.sparkSession
-    rows = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()
+    size = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    rows = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(size).collect()
     grid = Grid.fit(unit(np.frombuffer(b"".join(r.vec for r in rows), kind).reshape(-1, dim)), total)
     sent, width = spark.sparkContext.broadcast(grid), len(grid.second)
     shape = "member boolean, code int, own int, cells array<int>, cid long, n long, vec binary"

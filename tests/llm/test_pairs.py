@@ -272,10 +272,11 @@ def test_embeddings(spark, monkeypatch, blocks):
     found = {r.vec_id: r for r in embedding_dedup.components(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>")).collect()}
     got = sum(r.n_links for r in found.values())
     assert all(found[i].n_links <= n[i] for i in rows) and got >= 0.95 * sum(n.values()) > 0
-    if got == sum(n.values()):
-        want = reachable(rows, linked)
-        assert {i: r.component_id for i, r in found.items()} == want
-        assert all(r.kept == (r.vec_id == r.component_id) for r in found.values())
+    want = reachable(rows, linked)
+    # A link that is missed may leave a component in parts, never join two.
+    assert all(want[r.component_id] == want[i] for i, r in found.items())
+    assert sum(r.component_id == want[i] for i, r in found.items()) >= 0.98 * len(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in found.values())
 
 
 def test_odd_embeddings(spark):
