@@ -1,36 +1,40 @@
-"""Benchmark decontamination: prefix-filtered containment of benchmark windows in documents.
+"""Benchmark decontamination: a prefix-filtered set join of benchmark windows and documents.
 
 A window is a run of 13 consecutive words of an item (all its words if it has fewer).
 A document contains a window only if it contains all its words, so one word of the
 window is a sufficient prefix. Words are ordered by rarity: their occurrences in all
 documents are counted, and each window is indexed under its rarest word, with that
-word's offset. A document's words are joined with the indexed words. The offset fixes
-where the window would start; windows that would start before the first word or end
-after the last are dropped (position and length bound); the rest are verified word by
-word. Windows with the same word, offset and length share one hash lookup, so a
-frequent word costs at most 13 x 13 lookups per occurrence however many windows it has.
-
-The index is measured and broadcast in as many blocks as keep each near ``BLOCK_BYTES``.
-One block is the usual case; each further block is a further pass over the table, with
-the spans found so far carried in the rows.
+word's offset. A document's postings are its occurrences of indexed words, each with the
+twelve words around it on either side. Postings and index are joined on the word. The
+offset fixes where the window would start; windows that would start before the first word
+or end after the last are dropped (position and length bound); the rest are verified word
+by word in the posting's surroundings. So texts are read once and never shuffled.
+
+A word with more than a small part of all occurrences is dealt over as many salts as
+keep each below that part. Words are sought by a set of them, or, where that is too large
+to be sent to every task, by a bit map of bounded size, whose false positives the join removes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import byte_values, fresh, materialize, sliced
 
 WINDOW_WORDS = 13
-#: Bytes of window texts in one broadcast block; an index beyond it is read block by block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of a set of words that is sent to every task; a larger one is sent as a bit map of this size.
+SIEVE_BYTES = 16 << 20
+#: A word with over this part of the occurrences of all indexed words is dealt over salts; so at most this many words are.
+HOT_PARTS, HOT_LEAST = 4096, 50_000
 
 _WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -75,18 +79,41 @@ def membership(items: DataFrame, item_id: str = "item_id", text: str = "text") -
     return own.where("item_id is not null").mapInArrow(run, "item_id string, words string, class string").where("words <> ''")
 
 
-def word_counts(docs: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
-    """Occurrences in all documents of each word of ``vocabulary(word)``: ``word``, ``total``.
+class Sieve:
+    """Tells of words whether they may be among ``vocabulary(word)``."""
+
+    def __init__(self, vocabulary: DataFrame):
+        n = vocabulary.agg(F.count("*").alias("n"), F.sum(F.octet_length("word") + 50).alias("b")).first()
+        self.exact = (n.b or 0) <= SIEVE_BYTES
+        if self.exact:
+            self.words = frozenset(r.word.encode() for r in vocabulary.collect())
+            return
+        self.mask = min(1 << (16 * n.n).bit_length(), 8 * SIEVE_BYTES) - 1
+        slots = vocabulary.select((F.crc32(F.encode("word", "UTF-8")).bitwiseAND(F.lit(self.mask))).alias("s")).distinct()
+        self.bits = np.zeros((self.mask >> 3) + 1, np.uint8)
+        for r in slots.groupBy(F.expr("s div 8").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(s % 8 as int))")).alias("v")).toLocalIterator():
+            self.bits[r["at"]] = r.v
+
+    def __contains__(self, word: bytes) -> bool:
+        if self.exact:
+            return word in self.words
+        at = zlib.crc32(word) & self.mask
+        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+
+    def test(self):
+        return self.words.__contains__ if self.exact else self.__contains__
 
-    Tasks count before the shuffle. A vocabulary of up to BLOCK_BYTES is broadcast so
-    that only its words are counted; a larger one is joined with the counts of all words.
-    """
-    spark = docs.sparkSession
-    small = vocabulary.agg(F.sum(F.octet_length("word") + 50).alias("b")).first().b or 0
-    only = spark.sparkContext.broadcast(frozenset(r.word.encode() for r in vocabulary.collect())) if small <= BLOCK_BYTES else None
+
+def sieve(vocabulary: DataFrame) -> Broadcast:
+    return vocabulary.sparkSession.sparkContext.broadcast(Sieve(vocabulary))
+
+
+def word_counts(docs: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
+    """Occurrences in all documents of each word of ``vocabulary(word)``: ``word``, ``total``. Tasks count before the shuffle."""
+    only = sieve(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = only.value if only else None
+        known = only.value.test()
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
@@ -94,8 +121,7 @@ def word_counts(docs: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
 
         for b in sliced(batches):
             for x in byte_values(b, text):
-                words = words_of(x)
-                seen.update(filter(known.__contains__, words) if known is not None else words)
+                seen.update(filter(known, words_of(x)))
             if len(seen) > 500_000:
                 yield out()
                 seen.clear()
@@ -106,81 +132,75 @@ def word_counts(docs: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
 
 
 def prefix_index(docs: DataFrame, text: str, found: DataFrame) -> DataFrame:
-    """``windows`` with ``word`` (the rarest; ties by the word, then the first) and its ``at`` (offset)."""
+    """``windows`` with ``word`` (the rarest; ties by the word, then the first), its ``total`` and its ``offset``."""
     split = found.select("window", F.posexplode(F.split("window", " ")).alias("at", "word"))
     counts = word_counts(docs, text, split.select("word").distinct())
     order = F.struct("total", "word", "at")
     rarest = split.join(counts, "word").groupBy("window").agg(F.min(order).alias("r"))
-    return found.join(rarest, "window").select("window", "n", "classes", F.col("r.word").alias("word"), F.col("r.at").alias("at"))
+    return found.join(rarest, "window").select("window", "n", "classes", F.col("r.word").alias("word"), F.col("r.total").alias("total"), F.col("r.at").alias("offset"))
 
 
-def _match(words: list[bytes], index: dict) -> Iterator[tuple[int, int, list[str]]]:
-    for at, word in enumerate(words):
-        if (shapes := index.get(word)) is None:
-            continue
-        for (offset, n), known in shapes.items():
-            start = at - offset
-            if start >= 0 and start + n <= len(words) and (classes := known.get(b" ".join(words[start : start + n]))):
-                yield start, start + n, classes
+def postings(docs: DataFrame, only: Broadcast, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``docs``, then ``n_words`` and ``postings``: array<struct<word, at, before, around>> of words in the sieve.
 
-
-def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All columns of ``docs``, then the number of words, the merged word ranges (start, end, ...), the matching texts.
-
-    The three are named as ``fresh(docs, "words", "spans", "classes")`` says.
+    ``around`` has the words around the place ``at``, ``before`` of them before it.
     """
-    spark = docs.sparkSession
+    more = WINDOW_WORDS - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = only.value.test()
+        for b in sliced(batches, 256):
+            sizes, counts, words_, ats, befores, arounds = [], [0], [], [], [], []
+            for x in byte_values(b, text):
+                words = words_of(x)
+                sizes.append(len(words))
+                for at in [i for i, w in enumerate(words) if known(w)]:
+                    before = min(at, more)
+                    words_.append(words[at])
+                    ats.append(at)
+                    befores.append(before)
+                    arounds.append(b" ".join(words[at - before : at + more + 1]))
+                counts.append(len(ats))
+            each = [pa.array(words_, pa.binary()).cast(pa.string()), pa.array(ats, pa.int64()), pa.array(befores, pa.int32()), pa.array(arounds, pa.binary()).cast(pa.string())]
+            found = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(each, ["word", "at", "before", "around"]))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(sizes, pa.int64()), found], [*keep, "n_words", "postings"])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, text).mapInArrow(run, f"{kinds}, n_words long, postings array<struct<word:string,at:bigint,before:int,around:string>>")
+
+
+def hits(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Occurrences of windows in ``rows(key, postings)``: ``key``, ``start``, ``n`` (words), ``classes``."""
+    each = rows.select("key", F.explode("postings").alias("p")).select("key", "p.word", "p.at", "p.before", "p.around")
+    totals = index.select("word", "total").distinct()
+    most = max(HOT_LEAST, (totals.agg(F.sum("total").alias("s")).first().s or 0) // HOT_PARTS)
+    # Totals over 1/HOT_PARTS of their sum: HOT_PARTS words at most.
+    hot = totals.where(F.col("total") > most).select("word", F.ceil(F.col("total") / most).cast("int").alias("parts"))
+    salted = lambda df, salt: df.join(F.broadcast(hot), "word", "left").withColumn("salt", salt).drop("parts")
+    parts = F.coalesce("parts", F.lit(1))
+    left = salted(each, F.pmod(F.xxhash64("key", "at"), parts).cast("int"))
+    right = salted(index.drop("total"), F.explode(F.sequence(F.lit(0), parts - 1)))
+    met = left.join(right, ["word", "salt"]).where("at >= offset and before >= offset")
+    found = F.array_join(F.slice(F.split("around", " "), F.col("before") - F.col("offset") + 1, F.col("n")), " ") == F.col("window")
+    return met.where(found).select("key", (F.col("at") - F.col("offset")).alias("start"), "n", "classes")
+
+
+def covered(found: DataFrame) -> DataFrame:
+    """Of ``hits`` per key: ``n_hit`` (words in any of them), ``longest`` (words of the longest window), ``classes`` (sorted, comma-joined)."""
+    order = Window.partitionBy("key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("n")
+    new = F.greatest(end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(order), F.lit(0))), F.lit(0).cast("long"))
+    each = found.select("key", "start", "n").distinct().withColumn("new", new)
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("classes"))))
+    return each.groupBy("key").agg(F.sum("new").alias("n_hit"), F.max("n").alias("longest")).join(found.groupBy("key").agg(F.array_join(names, ",").alias("classes")), "key")
+
+
+def find(docs: DataFrame, items: DataFrame, keep: list[str], item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Of ``docs(key, text, ..)`` the rows with ``n_words``, and what ``covered`` tells of each key that is hit."""
     found = materialize(windows(items, item_id, item_text), "windows")
-    index = materialize(prefix_index(docs, text, found), "prefix-index")
-    total = index.agg(F.sum(F.octet_length("window") + 60 + 80 * F.size("classes")).alias("b")).first().b or 0
-    names = docs.columns
-    n_words, spans, matching = fresh(docs, "words", "spans", "classes")
-    schema = T.StructType([*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(spans, T.ArrayType(T.LongType())), T.StructField(matching, T.ArrayType(T.StringType()))])
-    blocks = max(1, -(-total // BLOCK_BYTES))
-
-    def search(block) -> object:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = block.value
-            for b in sliced(batches):
-                later = n_words in b.schema.names
-                before = b.column(b.schema.get_field_index(spans)).to_pylist() if later else None
-                classes = b.column(b.schema.get_field_index(matching)).to_pylist() if later else None
-                out: tuple[list, list, list] = ([], [], [])
-                for k, x in enumerate(byte_values(b, text)):
-                    words = words_of(x)
-                    ranges, has = ([*zip(before[k][::2], before[k][1::2])], {*classes[k]}) if later else ([], set())
-                    if not known.keys().isdisjoint(words):
-                        for start, end, c in _match(words, known):
-                            ranges.append((start, end))
-                            has.update(c)
-                    merged: list[int] = []
-                    for start, end in sorted(ranges):
-                        if merged and start <= merged[-1]:
-                            merged[-1] = max(merged[-1], end)
-                        else:
-                            merged += (start, end)
-                    out[0].append(len(words))
-                    out[1].append(merged)
-                    out[2].append(sorted(has))
-                arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *arrays], schema.names)
-
-        return run
-
-    now = docs
-    for k in range(blocks):
-        known: dict[bytes, dict[tuple[int, int], dict[bytes, list[str]]]] = {}
-        for r in index.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).toLocalIterator():
-            known.setdefault(r.word.encode(), {}).setdefault((r.at, r.n), {})[r.window.encode()] = r.classes
-        now = now.mapInArrow(search(spark.sparkContext.broadcast(known)), schema)
-        if k + 1 < blocks:
-            now = materialize(now, "decontamination")
-    return now
-
-
-def _hit(spans: str) -> Column:
-    """Words in the merged ranges; an odd place is an end, an even one a start."""
-    return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    index = materialize(prefix_index(docs, "text", found), "prefix-index")
+    rows = materialize(postings(docs, sieve(index.select("word").distinct()), keep), "postings")
+    return rows.drop("postings"), covered(materialize(hits(rows, index), "window-hits"))
 
 
 def _contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -197,11 +217,9 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     columns are read, so others cannot clash. Item ids are looked up once per distinct
     set of matching texts, not per document.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    n_words, spans, matching = fresh(own, "words", "spans", "classes")
-    rows = find_spans(own, items).select(
-        "doc_id", F.col(n_words).alias("n_words"), _hit(spans).alias("n_hit"), F.array_join(matching, ",").alias("classes")
-    )
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("key"))
+    rows, hit = find(own, items, ["doc_id", "key"])
+    rows = rows.join(hit, "key", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("classes", F.lit("")).alias("classes"))
     rows = materialize(rows, "decontamination-rows")
     sets = rows.where("classes <> ''").select("classes").distinct()
     each = sets.select("classes", F.explode(F.split("classes", ",")).alias("class"))
@@ -218,6 +236,18 @@ def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without contaminated rows; all columns, no shuffle of texts."""
-    n_words, spans, _ = fresh(docs, "words", "spans", "classes")
-    return find_spans(docs, items, text).where(~_contaminated(_hit(spans), F.col(n_words))).select(*docs.columns)
+    """``docs`` without contaminated rows; all columns, also clashing ones.
+
+    A row goes if it holds a whole window of 13 words of an item, however long the text
+    around it is, or if windows cover a twentieth of its words; items of fewer words say
+    too little to count alone. Null and empty texts stay; rows with equal texts stay or
+    go together. With an empty benchmark all stay; an empty table gives an empty result.
+    Decisions are made per distinct text, and only the keys of contaminated ones are joined.
+    """
+    (name,) = fresh(docs, "key")
+    key = F.sha2(F.col(text), 256)
+    own = docs.select(key.alias("key"), F.col(text).alias("text")).where("text is not null")
+    rows, hit = find(own, items, ["key"])
+    bad = rows.join(hit, "key").where((F.col("longest") >= WINDOW_WORDS) | _contaminated(F.col("n_hit"), F.col("n_words")))
+    bad = materialize(bad.select(F.col("key").alias(name)).distinct(), "contaminated")
+    return docs.withColumn(name, key).join(bad, name, "left_anti").select(*docs.columns)

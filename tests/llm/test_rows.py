@@ -36,19 +36,33 @@ def brute_decontamination(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 2000])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+def brute_contaminated(text, items):
+    """The stage's rule: a whole window of 13 words, or a twentieth of the words."""
+    if brute_decontamination([(0, text)], items)[0][-1]:
+        return True
+    long = [(i, x) for i, x in items if len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", x or "")) >= 13]
+    return brute_decontamination([(0, text)], long)[0][2] > 0
+
+
+@pytest.mark.parametrize("sieve, hot", [(decontam.SIEVE_BYTES, decontam.HOT_LEAST), (2000, 3)])
+def test_decontamination(spark, monkeypatch, sieve, hot):
+    """Also with words sought by a bit map and with hot words dealt over salts."""
+    monkeypatch.setattr(decontam, "SIEVE_BYTES", sieve)
+    monkeypatch.setattr(decontam, "HOT_LEAST", hot)
     items = [(i, prose(i, n)) for i, n in enumerate([13, 40, 5, 1, 12, 14])] + [(2, prose(1, 40)), (9, None), (10, ""), (11, "the the the"), (12, prose(1, 40))]
     rng = random.Random(1)
     docs = [(i, " ".join([prose(50 + i, rng.randint(0, 60)), (items[i % 7][1] or "").upper(), prose(90 + i, rng.randint(0, 900))])) for i in range(20)]
     docs += [(30, None), (31, ""), (32, "The THE the the x"), (32, "The THE the the x"), (None, items[1][1]), (33, " ".join(prose(1, 40).split()[5:25]))]
-    d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, __words int")
+    docs += [(40, prose(400, 20_000) + " " + items[1][1] + " " + prose(401, 20_000)), (41, "the the the " + prose(402, 500))]
+    d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, __Key int")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.report(d.select("doc_id", "text"), b)
     assert sorted(map(tuple, got.collect()), key=str) == brute_decontamination(docs, items)
     clean = decontam.remove_contaminated(d, b)
-    assert clean.columns == ["doc_id", "text", "__words"] and clean.where("__words <> 1").count() == 0 and clean.count() == sum(not r[-1] for r in brute_decontamination(docs, items))
+    assert clean.columns == ["doc_id", "text", "__Key"] and clean.where("__Key <> 1").count() == 0
+    assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((i for i, t in docs if not brute_contaminated(t, items)), key=str)
+    kept = {r.doc_id for r in clean.collect()}
+    assert 40 not in kept and {30, 31, 41} <= kept
     assert decontam.report(d.where("false"), b).count() == 0
     assert decontam.report(d, b.where("false")).where("n_hit > 0").count() == 0
 
