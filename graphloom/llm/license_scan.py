@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import byte_values
+from .common import byte_values, sliced, without
 
 THRESHOLD = 0.8
 
@@ -185,12 +185,12 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, thr
     rows stay; result columns replace columns of ``docs`` with the same names.
     """
     made = [T.StructField("license", T.StringType()), T.StructField("coefficient", T.DoubleType()), T.StructField("n_matches", T.LongType()), T.StructField("matches", T.StringType())]
-    names = [c for c in docs.columns if c not in {text, *(f.name for f in made)}]
+    names = without(docs, text, *(f.name for f in made))
     schema = T.StructType([*(docs.schema[c] for c in names), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, threshold)
-        for b in batches:
+        for b in sliced(batches, 256):
             all_found = [matcher.scan((x or b"").decode("utf-8", "replace")) for x in byte_values(b, text)]
             best = [max(f, key=lambda m: (m[3], -m[0]), default=(0, 0, None, 0.0)) for f in all_found]
             arrays = [
