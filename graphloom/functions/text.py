@@ -98,7 +98,8 @@ def body_head(text: Column | str, max_lines: int, max_bytes: int) -> Column:
     """The first lines of a text, cut to a number of bytes; a last line says how many lines were left out."""
     lines = F.split(col(text), "\n")
     head = F.array_join(F.slice(lines, 1, max_lines), "\n")
-    cut = F.when(F.octet_length(head) > max_bytes, F.substr(head, F.lit(1), F.lit(max_bytes))).otherwise(head)
+    raw = F.substring(F.encode(head, "UTF-8"), 1, max_bytes).cast("string")
+    cut = F.when(F.octet_length(head) > max_bytes, F.make_valid_utf8(raw)).otherwise(head)
     left = F.size(lines) - max_lines
     return F.when(left > 0, F.concat(cut, F.lit("\n… "), left.cast("string"), F.lit(" more"))).otherwise(cut)
 
@@ -177,3 +178,23 @@ def table_cell(c: Column | str) -> Column:
 
 def decay(age_days: Column | str, half_life: float) -> Column:
     return F.pow(F.lit(0.5), F.greatest(col(age_days), F.lit(0.0)) / half_life)
+
+
+def clipped(c: Column | str, size: int = 120) -> Column:
+    return F.substr(col(c), F.lit(1), F.lit(size))
+
+
+def short_sha(c: Column | str) -> Column:
+    """The first seven characters, a question mark for none."""
+    return F.when(F.coalesce(col(c), F.lit("")) == "", F.lit("?")).otherwise(F.substr(col(c), F.lit(1), F.lit(7)))
+
+
+def age_text(seconds: Column | str) -> Column:
+    """Seconds, minutes, hours (below two days) or days, whole."""
+    s = col(seconds).cast("long")
+    steps = F.when(s < 60, F.concat(s, F.lit("s"))).when(s < 3600, F.concat(F.floor(s / 60), F.lit("m")))
+    return steps.when(s < 48 * 3600, F.concat(F.floor(s / 3600), F.lit("h"))).otherwise(F.concat(F.floor(s / 86400), F.lit("d")))
+
+
+def default_module_name(path: Column | str) -> Column:
+    return F.replace(F.regexp_replace(col(path), "^/+|/+$", ""), F.lit("/"), F.lit("-"))

@@ -20,8 +20,10 @@ def explain(edges: DataFrame, node: str) -> DataFrame:
     return out.unionByName(into).groupBy("dir", "relation").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def card(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
-    """One row: the node's fields, ``parent``, ``contains``, ``calls``, ``called_by``, ``imports``, ``other``.
+def card(nodes: DataFrame, edges: DataFrame, node: str, cap: int = L.LIST_CAP) -> DataFrame:
+    """One row: the node's fields, ``parent``, ``contains``, ``calls``, ``called_by``, ``imports``, ``other``, ``hidden``.
+
+    Lists have ``cap`` entries at most, in order; ``hidden`` tells how many more each has.
 
     Each edge lands once. The parent is the greatest source of an edge that contains the
     node; ``other`` lists "relation → id" and "relation ← id".
@@ -37,8 +39,14 @@ def card(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     other = F.when(out, F.concat_ws(" ", rel, F.lit("→"), "target")).otherwise(F.concat_ws(" ", rel, F.lit("←"), "source"))
     end = F.when(out, F.col("target")).otherwise(F.col("source"))
     parts = mine.select(role.alias("role"), F.when(role == "other", other).otherwise(end).alias("x"))
+    lists = ("contains", "calls", "called_by", "imports", "other")
+    # The first rows of a role are found in every task before its shuffle; of parents the greatest counts.
+    first = F.row_number().over(Window.partitionBy("role").orderBy("x"))
+    top = parts.where("role <> 'parent'").withColumn("n", first).where(F.col("n") <= cap)
+    counts = parts.groupBy("role").agg(F.count("*").alias("n"), F.max("x").alias("last"))
     listed = lambda name: F.sort_array(F.collect_list(F.when(F.col("role") == name, F.col("x")))).alias(name)
-    summed = parts.agg(F.max(F.when(F.col("role") == "parent", F.col("x"))).alias("parent"), *map(listed, ("contains", "calls", "called_by", "imports", "other")))
+    more = lambda name: F.greatest(F.coalesce(F.max(F.when(F.col("role") == name, F.col("n"))), F.lit(0)) - cap, F.lit(0)).alias(name)
+    summed = top.agg(*map(listed, lists)).crossJoin(counts.agg(F.max(F.when(F.col("role") == "parent", F.col("last"))).alias("parent"), F.struct(*map(more, lists)).alias("hidden")))  # one row each
     return nodes.where(F.col("id") == node).limit(1).crossJoin(summed)  # one row each
 
 
@@ -65,13 +73,11 @@ class Plan:
 
 def change_plan(nodes: DataFrame, edges: DataFrame, node: str, depth: int = L.AFFECTED_DEPTH) -> Plan:
     """Card, and the impacts split into co-changes, tests and the rest, each capped, with ``hidden`` (how many more)."""
-    hit = traverse.affected(nodes, edges, node, depth)
+    hit = cut(traverse.affected(nodes, edges, node, depth))
 
     def capped(df: DataFrame, cap: int) -> DataFrame:
-        order = Window.orderBy("depth", "place")
-        all_ = Window.partitionBy(F.lit(0))
-        out = df.withColumn("n", F.row_number().over(order)).withColumn("hidden", F.greatest(F.count("*").over(all_) - cap, F.lit(0)))
-        return out.where(F.col("n") <= cap).drop("n")
+        total = df.agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("hidden"))
+        return df.orderBy("depth", "place").limit(cap).crossJoin(total)  # at most cap rows and one
 
     together = F.col("via") == "co_changed_with"
     test = text.is_plan_test("source")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import limits as L
 from ..functions import text
 from ..functions.tables import cut
-from .cards import degrees
 
 Graph = list[dict[int, float]]
 
@@ -80,24 +79,27 @@ def partition(n: int, pairs: list[tuple[int, int, float]]) -> dict[int, int]:
     for i, c in enumerate(own):
         if base[i]:
             members[c].add(i)
-    dropped: set[int] = set()
-    while len(members) > 1:
-        c = min(members, key=lambda c: (len(members[c]), c))
+    alone: set[int] = set()
+    while len(members) > 1 and len(alone) < len(members):
+        c = min(members.keys() - alone, key=lambda c: (len(members[c]), c))
         if len(members[c]) >= L.MIN_COMMUNITY:
             break
         pull: dict[int, float] = defaultdict(float)
         for i in members[c]:
             for j, w in base[i].items():
-                if own[j] != c and own[j] in members:
+                if own[j] != c:
                     pull[own[j]] += w
-        gone = members.pop(c)
         if not pull:
-            dropped |= gone
+            alone.add(c)
             continue
         to = min(pull, key=lambda k: (-pull[k], k))
+        gone = members.pop(c)
         for i in gone:
             own[i] = to
         members[to] |= gone
+    for c in alone:
+        if len(members[c]) < L.MIN_COMMUNITY:
+            del members[c]
     return {i: c for c, ids in members.items() for i in ids}
 
 
@@ -124,10 +126,14 @@ def communities(nodes: DataFrame, edges: DataFrame, module: str | None = None, m
             ids = sorted(set(pdf.a) | set(pdf.b))
             at = {x: i for i, x in enumerate(ids)}
             found = partition(len(ids), [(at[a], at[b], w) for a, b, w in sorted(zip(pdf.a, pdf.b, pdf.w))])
-            return pd.DataFrame({"module": pdf.module.iloc[0], "id": [ids[i] for i in found], "c": list(found.values())})
+            out = pd.DataFrame({"module": [pdf.module.iloc[0]] * len(found), "id": [ids[i] for i in found], "c": list(found.values())})
+            return out.astype({"module": object, "id": object, "c": "int64"})
 
         named = e.select("module", "a", "b", "w").groupBy("module").applyInPandas(kernel, "module string, id string, c long")
-    ranked = named.join(own, ["module", "id"]).join(degrees(edges).select("id", (F.col("n_in") + F.col("n_out")).alias("degree")), "id")
+    # A node's degree is its summed weight inside the graph.
+    ends_of = lambda c: e.select("module", F.col(c).alias("id"), "w")
+    strength = ends_of("a").unionByName(ends_of("b")).groupBy("module", "id").agg(F.sum("w").alias("degree"))
+    ranked = named.join(own, ["module", "id"]).join(strength, ["module", "id"])
     return _described(ranked)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import limits as L
+from ..functions import text
 
 
 def cochanges(commits: DataFrame, files: DataFrame, live: DataFrame | None = None, newest: int = L.COMMITS, max_files: int = L.COMMIT_FILES, support: int = L.MIN_SUPPORT, top: int = L.MAX_PAIRS) -> DataFrame:
@@ -13,13 +14,15 @@ def cochanges(commits: DataFrame, files: DataFrame, live: DataFrame | None = Non
 
     ``commits(commit_id, seq, is_merge)`` with the highest ``seq`` newest;
     ``files(commit_id, path)``. Merges and commits of more than ``max_files`` files don't
-    count; a commit's pairs are therefore bounded by max_files squared.
+    count, whatever files are live; then files that are gone or named like secrets are
+    left out. A commit's pairs are therefore bounded by max_files squared.
     """
     recent = commits.where("not is_merge").orderBy(F.desc("seq"), F.desc("commit_id")).limit(newest).select("commit_id")
     touched = files.join(recent, "commit_id").select("commit_id", "path").distinct()
-    if live is not None:
-        touched = touched.join(live.select("path"), "path", "left_semi")
     sized = touched.withColumn("n", F.count("*").over(Window.partitionBy("commit_id"))).where(F.col("n") <= max_files)
+    sized = sized.where(~text.is_secret_name("path"))
+    if live is not None:
+        sized = sized.join(live.select("path"), "path", "left_semi")
     single = sized.groupBy("path").agg(F.count("*").alias("changes"))
     pairs = sized.select("commit_id", F.col("path").alias("a")).join(sized.select("commit_id", F.col("path").alias("b")), "commit_id").where("a < b")
     counted = pairs.groupBy("a", "b").agg(F.count("*").alias("support")).where(F.col("support") >= support)

@@ -41,7 +41,7 @@ def resolve_imports(imports: DataFrame, dependencies: DataFrame, self_modules: D
     and relative specifiers have no link.
     """
     spec = F.col("spec")
-    outside = ~spec.rlike(r"^(\.|/|node:)") & ~F.substring_index(spec, "/", 1).isin(*NODE_BUILTINS)
+    outside = ~spec.rlike(r"^(\.|/|node:)") & ~spec.isin(*NODE_BUILTINS)
     named = imports.where(outside).withColumn("name", spec).withColumn("package", text.npm_package("spec"))
     of = lambda eco: dependencies.where(F.col("ecosystem") == eco)
     npm = of("npm").groupBy(F.col("name").alias("package")).agg(F.min("dep_id").alias("npm_id"))

@@ -54,13 +54,13 @@ class Parts:
 
 
 def partition(batch: Batch, order: str | None = None) -> Parts:
-    """Good rows, and ``quarantine(id, reason)``. Of repeated ids the first by ``order`` stays (by all fields without one).
+    """Good rows, and ``quarantine(id, reason)``. Of repeated ids the first by ``order`` stays (by position without one).
 
     An edge goes with an endpoint that was found invalid here; endpoints that are
     elsewhere, or only repeated, don't matter.
     """
-    place = Window.partitionBy("id").orderBy(order) if order else Window.partitionBy("id").orderBy("label", "kind", "source", "location")
-    tagged = batch.nodes.withColumn("fault", node_fault()).withColumn("n", F.row_number().over(place))
+    tagged = batch.nodes.withColumn("at", F.col(order) if order else F.monotonically_increasing_id()).withColumn("fault", node_fault())
+    tagged = tagged.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("at")))
     tagged = tagged.withColumn("reason", F.coalesce("fault", F.when(F.col("n") > 1, "duplicate id in batch")))
     good = tagged.where("reason is null")
     bad_ids = tagged.where("fault is not null").select("id").distinct().join(good.select("id"), "id", "left_anti")
@@ -82,6 +82,16 @@ def last_by_key(df: DataFrame, key: tuple[str, ...], order: str) -> DataFrame:
     return df.withColumn("__n", place).where("__n = 1").drop("__n", order)
 
 
+def _last_edges(edges: DataFrame) -> DataFrame:
+    return last_by_key(edges.withColumn("__at", F.monotonically_increasing_id()), EDGE_KEY, "__at")
+
+
+def new_rows(nodes: DataFrame, edges: DataFrame, batch: Batch) -> tuple[int, int]:
+    """How many nodes and edges of a batch the store doesn't have yet."""
+    n = batch.nodes.select("id").distinct().join(nodes.select("id"), "id", "left_anti").count()
+    return n, batch.edges.select(*EDGE_KEY).distinct().join(edges.select(*EDGE_KEY), list(EDGE_KEY), "left_anti").count()
+
+
 def _upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...], keep_owner: bool) -> DataFrame:
     if keep_owner:
         owners = old.select(*key, producer().alias("__owner"))
@@ -93,11 +103,11 @@ def _upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...], keep_owner: bo
 
 
 def merge(nodes: DataFrame, edges: DataFrame, batch: Batch, check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Upsert: a node is replaced whole by its id, an edge by (source, target, relation); existing rows keep their producer."""
+    """Upsert: a node is replaced whole by its id, an edge by (source, target, relation), the last of a batch; existing rows keep their producer."""
     if check:
         validate(batch)
     new_nodes, new_edges = stamped(batch.nodes, batch.producer), stamped(batch.edges, batch.producer)
-    return _upsert(nodes, new_nodes, ("id",), True), _upsert(edges, new_edges.dropDuplicates(list(EDGE_KEY)), EDGE_KEY, True)
+    return _upsert(nodes, new_nodes, ("id",), True), _upsert(edges, _last_edges(new_edges), EDGE_KEY, True)
 
 
 @dataclass
@@ -127,7 +137,7 @@ def replace(nodes: DataFrame, edges: DataFrame, batch: Batch, force: bool = Fals
     if not force and had and has * L.SHRINK_FACTOR < had:
         raise Rejected(f"{has} nodes where there were {had}")
     new_nodes = stamped(parts.nodes, batch.producer).select(*nodes.columns)
-    new_edges = stamped(parts.edges, batch.producer).select(*edges.columns).dropDuplicates(list(EDGE_KEY))
+    new_edges = _last_edges(stamped(parts.edges, batch.producer).select(*edges.columns))
     pruned = previous.join(new_nodes.select("id"), "id", "left_anti").count()
     added = new_nodes.join(nodes.select("id"), "id", "left_anti").count()
     return Replaced(

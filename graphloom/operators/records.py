@@ -31,23 +31,28 @@ def usage_summary(usage: DataFrame, now: Column) -> DataFrame:
 
 
 def feedback_scores(results: DataFrame, now: Column, half_life: float = L.HALF_LIFE_DAYS) -> DataFrame:
-    """Per node: ``score`` (useful +, dead end −, halved every half-life; the future counts as now), ``useful``."""
+    """Per node: ``score`` (useful +, dead end and corrected −, halved every half-life; the future counts as now), ``useful``."""
     age = (F.unix_micros(now) - F.unix_micros("when")) / (86400.0 * 1e6)
-    sign = F.when(F.col("outcome") == "useful", 1.0).when(F.col("outcome") == "dead_end", -1.0)
+    sign = F.when(F.col("outcome") == "useful", 1.0).when(F.col("outcome").isin("dead_end", "corrected"), -1.0)
     each = results.select(F.explode("nodes").alias("node"), (sign * text.decay(age, half_life)).alias("s"), F.col("outcome"))
     each = each.where("s is not null")
     return each.groupBy("node").agg(F.sum("s").alias("score"), F.count_if(F.col("outcome") == "useful").alias("useful"))
 
 
 def lessons(results: DataFrame, now: Column, half_life: float = L.HALF_LIFE_DAYS, corroboration: int = L.MIN_CORROBORATION) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Preferred nodes, dead ends, corrections."""
+    """Preferred nodes, dead ends, corrections (of the results that were corrected)."""
     scored = feedback_scores(results, now, half_life)
     preferred = scored.where((F.col("score") > 0) & (F.col("useful") >= corroboration)).orderBy(F.desc("score"), "node")
     dead = scored.where(F.col("score") < 0).orderBy("score", "node")
-    fixes = results.where("correction is not null and correction <> ''").select("when", "question", "correction").orderBy("when", "question")
+    fixes = results.where("outcome = 'corrected'").select("when", "question", "correction").orderBy("when", "question")
     return preferred, dead, fixes
 
 
+def judged(marks: DataFrame, floor: float) -> DataFrame:
+    """``marks(question, mark)``, each from 0 to 1: one row ``total``, ``questions``, ``passed`` (not under the floor)."""
+    return marks.agg(F.coalesce(F.sum("mark"), F.lit(0.0)).alias("total"), F.count("*").alias("questions")).withColumn("passed", F.col("total") >= floor)
+
+
 STATES = ("fresh", "unknown", "stale")
 
 

@@ -54,23 +54,24 @@ def candidates(nodes: DataFrame, name: str) -> DataFrame:
 
 def resolve(nodes: DataFrame, name: str, fuzzy: bool = False) -> Resolved:
     """Declarations come before import stubs, then the smallest id; distinct labels that overlap alike are ambiguous."""
-    top = candidates(nodes, name).orderBy("stub", "id").limit(200).collect()
-    if not top:
+    found = candidates(nodes, name)
+    best = found.orderBy("stub", "id").first()
+    if best is None:
         raise NoNode(name, [r.label for r in suggestions(nodes, name).collect()])
-    best = top[0]
     if best.tier == 4 and not fuzzy:
-        rivals = list({r.label: r for r in reversed(top) if r.stub == best.stub}.values())
+        rivals = found.where(F.col("stub") == best.stub).groupBy("label").agg(F.min("id").alias("id")).orderBy("id").limit(L.CANDIDATES).collect()
         if len(rivals) > 1:
-            raise Ambiguous(name, sorted(rivals, key=lambda r: r.id)[: L.CANDIDATES])
+            raise Ambiguous(name, rivals)
     return Resolved(best, ("exact-id", "exact-label", "last-segment", "fuzzy")[best.tier - 1])
 
 
 def suggestions(nodes: DataFrame, name: str, limit: int = L.SUGGESTIONS) -> DataFrame:
-    """Labels whose trigrams are near the name's last segment: ``label``, ``dice``."""
+    """Labels whose trigrams are near the name's, or its last segment's, whichever is nearer: ``label``, ``dice``."""
     base = name.strip()
     for mark in ("/", "::", "."):
         base = base.rpartition(mark)[2]
     grams = lambda s: [s[i : i + 3] for i in range(len(s) - 2)]
-    own = F.array(*[F.lit(g) for g in dict.fromkeys(grams(base.lower()))]).cast("array<string>")
-    labels = nodes.select("label").distinct().withColumn("dice", text.dice(text.trigrams(F.lower("label")), own))
+    own = lambda s: F.array(*[F.lit(g) for g in dict.fromkeys(grams(s.lower()))]).cast("array<string>")
+    labels = nodes.select("label").distinct().withColumn("grams", text.trigrams(F.lower("label")))
+    labels = labels.select("label", F.greatest(*(text.dice(F.col("grams"), own(s)) for s in (name, base))).alias("dice"))
     return labels.where(F.col("dice") >= L.SUGGEST_DICE).orderBy(F.desc("dice"), "label").limit(limit)

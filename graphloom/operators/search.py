@@ -37,18 +37,29 @@ def document_frequency(post: DataFrame) -> DataFrame:
 
 
 def scores(nodes: DataFrame, questions: DataFrame, post: DataFrame | None = None) -> DataFrame:
-    """``qid``, ``id``, raw ``score`` of every matching node; ``questions(qid, pos, token)`` is the small side."""
+    """``qid``, ``id``, raw ``score`` of every matching node, for one or many ``questions(qid, pos, token)``.
+
+    Each tier is an equi-join of the vocabulary with the questions' tokens: by the token,
+    by its leading parts, by trigrams.
+    """
     post = post if post is not None else postings(nodes)
     n = nodes.agg(F.count("*").alias("n"))
-    vocabulary = document_frequency(post).crossJoin(n).withColumn("idf", text.idf("df", F.col("n")))
-    # Questions are typed by people: a few tokens each, so this side is broadcast below its checked size.
-    asked = F.broadcast(questions) if questions.count() <= 100_000 else questions
-    both_long = (F.length("token") >= L.TRIGRAM_LENGTH) & (F.length("qt") >= L.TRIGRAM_LENGTH)
-    near = both_long & (text.dice(text.trigrams("token"), text.trigrams("qt")) >= L.TRIGRAM_DICE)
-    starts = (F.length("qt") >= L.PREFIX_LENGTH) & (F.col("token").startswith(F.col("qt")) | F.col("qt").startswith(F.col("token")))
-    tier = F.when(F.col("token") == F.col("qt"), 1).when(starts, 2).when(near, 3)
+    vocabulary = document_frequency(post).crossJoin(n).select("token", text.idf("df", F.col("n")).alias("idf"))  # one row
+    asked = questions.select(F.col("token").alias("qt")).distinct()
+    starts = lambda c, least: F.transform(F.sequence(F.lit(least), F.length(c)), lambda i: F.substr(c, F.lit(1), i))
+    long = lambda df, c: df.where(F.length(c) >= L.TRIGRAM_LENGTH).select(c, F.size(text.trigrams(c)).alias(f"n_{c}"), F.explode(text.trigrams(c)).alias("gram"))
+    words = vocabulary.select("token")
+    exact = words.join(asked, F.col("token") == F.col("qt")).select("token", "qt", F.lit(1).alias("tier"))
+    # A token that starts with the question's, and one that the question's starts with.
+    able = asked.where(F.length("qt") >= L.PREFIX_LENGTH)
+    parts = words.where(F.length("token") >= L.PREFIX_LENGTH).select("token", F.explode(starts(F.col("token"), L.PREFIX_LENGTH)).alias("qt"))
+    longer = parts.join(able, "qt").select("token", "qt", F.lit(2).alias("tier"))
+    shorter = able.select("qt", F.explode(starts(F.col("qt"), 1)).alias("token")).join(words, "token").select("token", "qt", F.lit(2).alias("tier"))
+    shared = long(words, "token").join(long(asked, "qt"), "gram").groupBy("token", "n_token", "qt", "n_qt").agg(F.count("*").alias("same"))
+    near = shared.where(2.0 * F.col("same") / (F.col("n_token") + F.col("n_qt")) >= L.TRIGRAM_DICE).select("token", "qt", F.lit(3).alias("tier"))
+    tiers = exact.unionByName(longer).unionByName(shorter).unionByName(near).groupBy("token", "qt").agg(F.min("tier").alias("tier"))
     share = F.when(F.col("tier") == 1, L.EXACT).when(F.col("tier") == 2, L.PREFIX).otherwise(L.TRIGRAM)
-    match = vocabulary.join(asked.withColumnRenamed("token", "qt"), tier.isNotNull()).withColumn("tier", tier)
+    match = tiers.join(questions.withColumnRenamed("token", "qt"), "qt").join(vocabulary, "token")
     match = match.select("qid", "pos", "token", "tier", (share * F.col("idf")).alias("w"))
     best = post.join(match, "token").groupBy("qid", "id", "pos").agg(F.min(F.struct("tier", (-F.col("w")).alias("w"))).alias("m"))
     # Summed in the order of the question's tokens, so that floats add up alike in every run.

@@ -6,6 +6,7 @@ are checkpointed to the shared folder, so plans stay short and survive lost exec
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -20,8 +21,19 @@ class NoPath(LookupError):
 
 
 def _numbered(level: DataFrame, *order: str) -> DataFrame:
-    """Place in the level. A level of a walk from one node; sorted in one task only to number it."""
-    return level.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    """Place in the level. Ranges of the order are numbered side by side, each from where those before it end."""
+    spark = level.sparkSession
+    dealt = cut(level.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
+    before, sizes = 0, []
+    for r in dealt.groupBy("range").count().orderBy("range").collect():
+        sizes.append((r.range, before))
+        before += r["count"]
+    if len(sizes) < 2:
+        return dealt.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(*order))).drop("range")
+    # One row per range.
+    begins = F.broadcast(spark.createDataFrame(sizes, "range int, begin long"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return dealt.withColumn("n", own).join(begins, "range").withColumn("place", (F.col("n") + F.col("begin")).cast("int")).drop("range", "n", "begin")
 
 
 def _start(edges: DataFrame, node: str) -> DataFrame:
@@ -90,7 +102,7 @@ class Step:
     direction: str
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 64) -> list[Step]:
+def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int | None = None) -> list[Step]:
     """Steps of a shortest walk, edges taken either way (``->`` or ``<-``); none if both ends are one.
 
     Among parents in the level before, the first in the order of the walk; among
@@ -102,7 +114,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 64)
     into = edges.select(F.col("target").alias("a"), F.col("source").alias("b"), "relation", F.lit("<-").alias("dir"))
     e = out.unionByName(into)
     frontier, seen, levels = _start(e, start), _start(e, start).select("id"), []
-    for _ in range(max_depth):
+    for _ in itertools.count() if max_depth is None else range(max_depth):
         near = e.join(frontier.select(F.col("id").alias("a"), F.col("place").alias("from_place")), "a")
         new = near.join(seen.withColumnRenamed("id", "b"), "b", "left_anti")
         first = F.min(F.struct("from_place", F.when(F.col("dir") == "->", 0).otherwise(1).alias("back"), "relation", "a", "dir"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import limits as L
 from ..functions import text
-from ..functions.schema import Batch, producer
+from ..functions.schema import producer
 from ..functions.tables import cut
-from ..operators import cards, communities, filters, history, links, mutate, records, resolve, search, traverse
+from ..operators import cards, communities, filters, history, links, records, resolve, search, traverse
 from ..sources import catalog
 from .demo_graph import GRAPH_SQL, edges, nodes, table
 from .registry import ORACLES, QUERIES
@@ -214,6 +214,7 @@ def viewer_payload(spark, sf):
 
 _APART = r"regexp_replace(regexp_replace({x}, '([^A-Z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')"
 _TOKENS = "list_filter(regexp_extract_all(lower(" + _APART + "), '[a-z0-9]+'), lambda t: length(t) > 1)"
+_ALL = ", post as (select distinct id, unnest(" + _TOKENS.format(x="label || ' ' || source") + ") as token from nodes), total as (select count(*) as n from nodes), vocab as (select token, count(*) as df, 0.1 + ln((n + 1) / (1 + count(*))) as idf from post, total group by token, n)"
 _POST = ", post as (select distinct id, unnest(" + _TOKENS.format(x="label || ' ' || source") + ") as token from nodes where kind = 'part'), total as (select count(*) as n from nodes where kind = 'part'), vocab as (select token, count(*) as df, 0.1 + ln((n + 1) / (1 + count(*))) as idf from post, total group by token, n)"
 
 
@@ -221,36 +222,36 @@ def parts(spark, sf):
     return nodes(spark, sf).where(F.col("kind") == "part")
 
 
-@query("select id, array_to_string(list_sort(list_distinct(" + _TOKENS.format(x="label || ' ' || source") + ")), ',') as tokens from nodes where kind = 'part'")
-def tokenize_parts(spark, sf):
+@query("select id, array_to_string(list_sort(list_distinct(" + _TOKENS.format(x="label || ' ' || source") + ")), ',') as tokens from nodes")
+def tokenize_nodes(spark, sf):
     words = F.array_distinct(text.tokens(F.concat_ws(" ", "label", "source")))
-    return parts(spark, sf).select("id", F.array_join(F.sort_array(words), ",").alias("tokens"))
+    return nodes(spark, sf).select("id", F.array_join(F.sort_array(words), ",").alias("tokens"))
 
 
-@query(_POST + " select token, df from vocab")
+@query(_ALL + " select token, df from vocab")
 def document_frequency(spark, sf):
-    return search.document_frequency(search.postings(parts(spark, sf)))
+    return search.document_frequency(search.postings(nodes(spark, sf)))
 
 
-@query(_POST + " select token, floor(idf * 1e6 + 0.5) / 1e6 as idf from vocab")
+@query(_ALL + " select token, floor(idf * 1e6 + 0.5) / 1e6 as idf from vocab")
 def idf(spark, sf):
-    p = parts(spark, sf)
+    p = nodes(spark, sf)
     n = p.count()
     return search.document_frequency(search.postings(p)).select("token", (F.floor(text.idf("df", n) * 1e6 + 0.5) / 1e6).alias("idf"))
 
 
-_SEARCH = _POST + """, asked as (select unnest(range(len(q))) as pos, unnest(q) as qt from (select [{words}] as q)),
+_MATCH = """, asked as (select unnest(range(len(q))) as pos, unnest(q) as qt from (select [{words}] as q)),
 match as (select pos, token, case when token = qt then 1 when length(qt) >= 3 and (starts_with(token, qt) or starts_with(qt, token)) then 2
   when length(token) >= 5 and length(qt) >= 5 and 2.0 * len(list_intersect(tt, tq)) / (len(tt) + len(tq)) >= 0.5 then 3 end as tier, idf
   from (select *, list_distinct([substring(token, i, 3) for i in range(1, length(token) - 1)]) as tt, list_distinct([substring(qt, i, 3) for i in range(1, length(qt) - 1)]) as tq from vocab, asked)),
 best as (select id, pos, first(case tier when 1 then 1.0 when 2 then 0.7 else 0.4 end * idf order by tier, idf desc) as w from post join match using (token) where tier is not null group by id, pos),
 scored as (select id, sum(w) as s from best group by id),
 ranked as (select row_number() over (order by round(s, 9) desc, id) as rank, id, label, source, s from scored join nodes using (id))"""
+_SEARCH, _SEARCH_PARTS = _ALL + _MATCH, _POST + _MATCH
 
 
 def _hits(spark, sf, question, **kw):
-    n = parts(spark, sf)
-    found = search.search(n, edges(spark, sf).where("false"), question, **kw)
+    found = search.search(nodes(spark, sf), edges(spark, sf), question, **kw)
     return found.select(F.col("rank").cast("long").alias("rank"), "id", "label", "score")
 
 
@@ -259,10 +260,13 @@ def search_words(spark, sf):
     return _hits(spark, sf, "red widget", budget=10**6)
 
 
-@query(_SEARCH.format(words="'red', 'widget'") + """, costed as (select *, (strlen(id) + strlen(label) + strlen(source) + 16) // 4 as cost from ranked where rank <= 20)
-select rank, id, label, floor(s * 100 + 0.5) / 100 as score from (select *, sum(cost) over (order by rank) as spent from costed) where rank = 1 or spent <= 60""")
+@query(_SEARCH.format(words="'red', 'widget'") + """, near as (select source as id, target as other, source as s, target as t, relation as r from edges union all select target, source, source, target, relation from edges where source <> target),
+top as (select id, other, r, row_number() over (partition by id order by s, t, r) as k from near join (select id from ranked where rank <= 20) using (id)),
+costs as (select id, sum(strlen(other) + strlen(r) + 8) as c from top where k <= 12 group by id),
+costed as (select ranked.*, (strlen(ranked.id) + strlen(label) + strlen(source) + 16 + coalesce(c, 0)) // 4 as cost from ranked left join costs using (id) where rank <= 20)
+select rank, id, label, floor(s * 100 + 0.5) / 100 as score from (select *, sum(cost) over (order by rank) as spent from costed) where rank = 1 or spent <= 700""")
 def search_budget(spark, sf):
-    return _hits(spark, sf, "red widget", budget=60)
+    return _hits(spark, sf, "red widget", budget=700)
 
 
 @query(_SEARCH.format(words="'widgett', 'smal'") + " select rank, id, label, floor(s * 100 + 0.5) / 100 as score from ranked where rank <= 20")
@@ -270,13 +274,13 @@ def search_typo(spark, sf):
     return _hits(spark, sf, "widgett smal", budget=10**6)
 
 
-@query(_SEARCH.format(words="'small', 'red', 'ring'") + """, near as (select source as id, target as other, source as s, target as t, relation as r from edges
+@query(_SEARCH_PARTS.format(words="'small', 'red', 'ring'") + """, near as (select source as id, target as other, source as s, target as t, relation as r from edges
   union all select target, source, source, target, relation from edges where source <> target),
 top as (select id, other, row_number() over (partition by id order by s, t, r) as k from near)
 select rank, ranked.id, label, floor(ranked.s * 100 + 0.5) / 100 as score, count(k) as n_neighbors, coalesce(string_agg(other, ',' order by k), '') as neighbors
 from ranked left join top on ranked.id = top.id and k <= 12 where rank <= 20 group by rank, ranked.id, label, ranked.s""")
 def search_parts(spark, sf):
-    """The flagship: ranked parts with their neighbours."""
+    """The flagship: ranked parts with their neighbours. The kind narrows before ranks are made, so idf is of parts."""
     found = search.search(parts(spark, sf), edges(spark, sf), "small red ring", budget=10**6)
     near = F.array_join(F.transform("neighbors", lambda x: x["id"]), ",").alias("neighbors")
     return found.select(F.col("rank").cast("long").alias("rank"), "id", "label", "score", F.size("neighbors").cast("long").alias("n_neighbors"), near)
@@ -417,45 +421,6 @@ def module_rank(spark, sf):
     return links.rank_modules(index, ["part", "order"]).select("name", "matches")
 
 
-# --- Changes of tables
-
-
-def _customers(spark, sf, test, name):
-    n = nodes(spark, sf).where(F.col("kind") == "customer").withColumn("k", F.substring_index("id", ":", -1).cast("long")).where(test).drop("k")
-    return Batch(name, n.withColumn("metadata", F.create_map(F.lit("producer"), F.lit(name))), edges(spark, sf).where("false"))
-
-
-@query("select 'customer:' || c_custkey as id, case when c_custkey % 3 = 0 and c_custkey % 2 = 0 then 'new' else c_name end as label, case when c_custkey % 2 = 0 then 'a' else 'b' end as producer from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0", graph=False)
-def merge_upsert(spark, sf):
-    old = _customers(spark, sf, "k % 2 = 0", "a")
-    new = _customers(spark, sf, "k % 3 = 0", "b")
-    new.nodes = new.nodes.withColumn("label", F.when(F.substring_index("id", ":", -1).cast("long") % 2 == 0, "new").otherwise(F.col("label")))
-    n, _ = mutate.merge(old.nodes, old.edges, new)
-    return n.select("id", "label", producer().alias("producer"))
-
-
-@query("select 'customer:' || c_custkey as id, case when c_custkey % 4 = 0 then 'a' else 'b' end as producer from customer where c_custkey % 2 = 1 or c_custkey % 4 = 0", graph=False)
-def replace_prune(spark, sf):
-    a, b = _customers(spark, sf, "k % 2 = 0", "a"), _customers(spark, sf, "k % 2 = 1", "b")
-    done = mutate.replace(a.nodes.unionByName(b.nodes), a.edges, _customers(spark, sf, "k % 4 = 0", "a"))
-    return done.nodes.select("id", producer().alias("producer"))
-
-
-@query("select case when c_custkey % 50 = 0 then '' else 'customer:' || c_custkey end as id, case when c_custkey % 50 = 0 then 'id is required' else 'label is required' end as reason from customer where c_custkey % 50 = 0 or c_custkey % 70 = 0", graph=False)
-def quarantine(spark, sf):
-    b = _customers(spark, sf, "true", "a")
-    k = F.substring_index("id", ":", -1).cast("long")
-    bad = b.nodes.withColumn("label", F.when(k % 70 == 0, "").otherwise(F.col("label"))).withColumn("id", F.when(k % 50 == 0, "").otherwise(F.col("id")))
-    return mutate.partition(Batch("a", bad, b.edges)).quarantine
-
-
-@query("select case when kind = 'customer' then 'm1/' || id else 'm2/' || id end as id, case when kind = 'customer' then 'm1' else 'm2' end as module from nodes where kind in ('customer', 'supplier')")
-def federated_union(spark, sf):
-    n, e = g(spark, sf)
-    part = lambda k: (n.where(F.col("kind") == k), e.where("false"))
-    return mutate.federate([("m1", *part("customer")), ("m2", *part("supplier"))], mode="all")[0].select("id", "module")
-
-
 # --- Logs
 
 _USAGE = "with u as (select ts, event_type as verb, cast(floor(value * 100) as bigint) as bytes, event_id % 1000 as ms from events) "
@@ -476,19 +441,21 @@ def usage_by_day(spark, sf):
 
 
 @query(_USAGE + """select count(*) as total, cast(sum(bytes) as bigint) as bytes, count(*) filter (cast(ts as date) = date '2024-01-30') as today, count(*) filter (cast(ts as date) > date '2024-01-23') as last_7_days,
- cast(sum(greatest(0, 7600 - bytes // 4)) as bigint) as saved_tokens, cast(sum(bytes) // 4 as bigint) as est_tokens from u""", graph=False)
+ cast(sum(case when verb = 'hook-context' then 0 else greatest(0, 7600 - bytes // 4) end) as bigint) as saved_tokens, cast(sum(bytes) // 4 as bigint) as est_tokens,
+ cast(sum(case when verb = 'hook-context' then 0 else greatest(0, 7600 - bytes // 4) end) as double) / 1e6 * 3.0 as saved_usd from (select * replace (case when verb = 'click' then 'hook-context' else verb end as verb) from u)""", graph=False)
 def usage_saved(spark, sf):
-    return records.usage_summary(_usage(spark, sf), F.lit("2024-01-30").cast("date")).drop("saved_usd")
+    u = _usage(spark, sf).withColumn("verb", F.when(F.col("verb") == "click", "hook-context").otherwise(F.col("verb")))
+    return records.usage_summary(u, F.lit("2024-01-30").cast("date"))
 
 
-_FEED = f"""with r as (select unnest([source, lang]) as node, case when toxic = 1 then -1.0 when quality = 1 then 1.0 end as s,
+_FEED = f"""with r as (select unnest([source, lang]) as node, case when toxic = 1 then -1.0 when quality = 1 then 1.0 when quality = 0 then -1.0 end as s,
   greatest(0, epoch(timestamp '{NOW}' - (timestamp '2024-01-01' + to_minutes(doc_id))) / 86400.0) as age from labels join documents using (doc_id)),
 f as (select node, sum(s * pow(0.5, age / 30)) as score, count(*) filter (s > 0) as useful from r where s is not null and node is not null group by node) """
 
 
 def _results(spark, sf):
     d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id")
-    outcome = F.when(F.col("toxic") == 1, "dead_end").when(F.col("quality") == 1, "useful").otherwise("")
+    outcome = F.when(F.col("toxic") == 1, "dead_end").when(F.col("quality") == 1, "useful").when(F.col("quality") == 0, "corrected").otherwise("")
     when = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("doc_id") * 60)
     return d.select(F.lit("q").alias("question"), F.lit("").alias("correction"), F.array("source", "lang").alias("nodes"), outcome.alias("outcome"), when.alias("when"))
 
@@ -506,14 +473,15 @@ def feedback_lessons(spark, sf):
     return records.lessons(_results(spark, sf), F.lit(NOW).cast("timestamp"))[0].withColumn("score", _r6("score"))
 
 
-@query("select 'stale' as state, 1 as exit_code", graph=False)
+@query("select case when bool_or(o_orderstatus = 'O') then 'stale' else 'fresh' end as state, case when bool_or(o_orderstatus = 'O') then 1 else 0 end as exit_code from orders", graph=False)
 def freshness_overall(spark, sf):
     o = table(spark, sf, "orders")
     s = o.select(F.col("o_orderkey").cast("string").alias("path"), F.lit("h1").alias("head"), F.lit(100).alias("head_unix"), F.when(F.col("o_orderstatus") == "O", "h2").otherwise("h1").alias("current"), F.lit(160).alias("current_unix"))
     return records.overall(records.freshness(s))
 
 
-@query(", c as (select unnest(['nation:3', 'nation_4', 'nope', 'tpch/region/0:L1-L2', 'tpch/region/0:L9']) as claim) select claim, case claim when 'nope' then 'missing-node' when 'tpch/region/0:L9' then 'out-of-range' else 'ok' end as verdict from c")
+@query(""", c as (select unnest(['nation:3', 'nation_4', 'nope', 'tpch/region/0:L1-L2', 'tpch/region/0:L9']) as claim) select claim, case when not regexp_matches(claim, ':L[0-9]+') then case when exists (select 1 from nodes where id = claim or lower(label) = lower(claim)) then 'ok' else 'missing-node' end
+  when not exists (select 1 from nodes where source = regexp_extract(claim, '^(.+):L', 1)) then 'missing-file' when cast(regexp_extract(claim, '([0-9]+)$', 1) as int) > 3 then 'out-of-range' else 'ok' end as verdict from c""")
 def verify_claims(spark, sf):
     n = nodes(spark, sf)
     claims = spark.createDataFrame([(c,) for c in ("nation:3", "nation_4", "nope", "tpch/region/0:L1-L2", "tpch/region/0:L9")], "claim string")
@@ -540,9 +508,13 @@ def body_slice(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", text.body_slice("text", F.lit(2), F.lit(3)).alias("body"))
 
 
-@query()
+_TABLES = "('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')"
+
+
+@query(f"""with c as (select distinct table_name as t, column_name as c from information_schema.columns where table_name in {_TABLES})
+select 'spark://local' as id, 'local' as label, 'database' as kind union all select 'spark://local/default', 'default', 'schema' union all select distinct 'spark://local/default/' || t, t, 'table' from c union all select 'spark://local/default/' || t || '/' || c, c, 'column' from c""", graph=False)
 def schema_catalog(spark, sf):
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
     batch = catalog.capture("local", {n: table(spark, sf, n) for n in names})
     return batch.nodes.select("id", "label", "kind")
 

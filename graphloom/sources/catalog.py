@@ -47,6 +47,33 @@ def shape(uri: str, tables: DataFrame, columns: DataFrame, keys: DataFrame | Non
     return Batch(f"source:{name}", nodes, reduce(lambda a, b: a.unionByName(b), edges))
 
 
+# Names of indexes and characters of a view's definition that are kept.
+INDEX_NAMES, VIEW_CHARS = 20, 400
+
+
+def details(indexes: DataFrame | None = None, partitions: DataFrame | None = None, views: DataFrame | None = None) -> DataFrame:
+    """``schema``, ``table``, ``metadata`` of ``indexes(schema, table, name)``, ``partitions(schema, table)`` (a row each) and ``views(schema, table, definition)``."""
+    by, parts = ["schema", "table"], []
+    entry = lambda df, k, v: df.select(*by, F.lit(k).alias("k"), v.cast("string").alias("v"))
+    if indexes is not None:
+        found = indexes.groupBy(*by).agg(F.sort_array(F.collect_set("name")).alias("names"))
+        parts += [entry(found, "index_count", F.size("names")), entry(found, "indexes", F.array_join(F.slice("names", 1, INDEX_NAMES), ", "))]
+    if partitions is not None:
+        parts.append(entry(partitions.groupBy(*by).count(), "partitions", F.col("count")))
+    if views is not None:
+        long = F.length("definition") > VIEW_CHARS
+        parts.append(entry(views, "definition", F.when(long, F.concat(F.substr("definition", F.lit(1), F.lit(VIEW_CHARS)), F.lit("…"))).otherwise(F.col("definition"))))
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("metadata"))
+
+
+def described(batch: Batch, uri: str, found: DataFrame) -> Batch:
+    """A batch of ``shape`` with ``details`` added to the metadata of its tables."""
+    more = found.select(F.concat_ws("/", F.lit(uri.rstrip("/")), "schema", "table").alias("id"), F.col("metadata").alias("more"))
+    none = F.create_map().cast("map<string,string>")
+    nodes = batch.nodes.join(more, "id", "left").withColumn("metadata", F.map_concat("metadata", F.coalesce("more", none))).select(*batch.nodes.columns)
+    return Batch(batch.producer, nodes, batch.edges)
+
+
 def capture(database: str, tables: dict[str, DataFrame], schema: str = "default") -> Batch:
     """The schemas of DataFrames; no data is read."""
     spark = next(iter(tables.values())).sparkSession

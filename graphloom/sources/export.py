@@ -147,3 +147,31 @@ def lessons_text(preferred: DataFrame, dead: DataFrame, fixes: DataFrame) -> str
     out += ["", "## Dead ends", ""] + [f"- {r.node} ({r.score:.2f})" for r in dead.collect()]
     out += ["", "## Corrections", ""] + [f"- {r.question}: {r.correction}" for r in fixes.collect()]
     return "\n".join(out) + "\n"
+
+
+def navigator(index: DataFrame, root: str) -> DataFrame:
+    """``value``: the front page of modules (``index`` of ``links.index_modules`` with ``path`` and ``summary``), line by line."""
+    n = index.count()
+    cells = [text.table_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("module", "path", "nodes", "edges", "summary")]
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    table = index.select(F.col("path").alias("key"), row.alias("value"))
+    shown = F.array_join(F.slice("hubs", 1, 10), ", ")
+    body = F.concat(F.lit("\n## "), "module", F.lit("\nhubs: "), shown, F.lit("\nwiki: ["), "path", F.lit("](../"), "path", F.lit("/wiki/index.md)"))
+    hubs = index.where(F.size("hubs") > 0).select(F.col("path").alias("key"), body.alias("value"))
+    head = [f"# {root}: modules", "", f"{n} modules", "", "| module | path | nodes | edges | about |", "|---|---|---:|---:|---|"]
+    return _document(head, table, hubs, tail=[])
+
+
+def navigator_json(index: DataFrame) -> DataFrame:
+    """``value``: a JSON object per module, by path."""
+    return index.orderBy("path").select(F.to_json(F.struct(F.col("module").alias("name"), "path", "nodes", "edges", "hubs", "summary")).alias("value"))
+
+
+def usage_csv(usage: DataFrame) -> DataFrame:
+    """Six columns in the order of time; write them with a header."""
+    return usage.orderBy("ts").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "verb", F.coalesce("arg", F.lit("")).alias("arg"), "hits", "bytes", "ms")
+
+
+def stale_pages(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Pages of ``before(id)`` that ``now(id)`` has no more: what an update of the wiki removes."""
+    return before.select("id").join(now.select("id"), "id", "left_anti").orderBy("id")

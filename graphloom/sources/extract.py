@@ -22,6 +22,7 @@ from ..functions import text as X
 from ..functions.schema import EDGE, NODE, Batch, as_edges, as_nodes
 from ..functions.tables import cut
 from ..operators import links
+from ..operators.mutate import last_by_key
 from . import yaml_lines as Y
 
 Row = dict
@@ -49,6 +50,7 @@ def edge(source: str, target: str, relation: str, confidence: str = "EXTRACTED",
 
 # Folders and files that are never read.
 PRUNED = ("node_modules", "vendor", "target", "dist", "build")
+CODE = r"(?i)\.(py|go|java|js|jsx|mjs|cjs|ts|tsx|c|h|cc|cpp|hpp|cs|rs|rb|php|kt|swift|sql)$"
 LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "Cargo.lock", "poetry.lock", "composer.lock", "Gemfile.lock", "packages.lock.json")
 
 
@@ -60,13 +62,14 @@ def read_files(spark: SparkSession, root: str, ignored: DataFrame | None = None)
     files = raw.select(F.replace(at, F.lit(base), F.lit("")).alias("path"), "length", "content")
     folders = "|".join(map(re.escape, PRUNED))
     files = files.where(~F.col("path").rlike(rf"(^|/)(\.[^/]+|{folders}|[^/]*-out)/") & (F.col("length") <= L.CODE_BYTES))
-    files = files.where(~X.is_secret_name("path") & ~F.substring_index("path", "/", -1).isin(*LOCKFILES))
+    code = F.col("path").rlike(CODE)
+    files = files.where((code | ~X.is_secret_name("path")) & ~F.substring_index("path", "/", -1).isin(*LOCKFILES))
     if ignored is not None:
         inside = files.select("path", F.explode(X.prefixes("path", "/")).alias("prefix"))
         files = files.join(inside.join(ignored.select(F.col("path").alias("prefix")), "prefix").select("path"), "path", "left_anti")
     files = files.select("path", F.col("content").cast("string").alias("content"))
     longest = F.array_max(F.transform(F.split("content", "\n"), F.octet_length))
-    return files.where(longest <= L.MINIFIED_LINE)
+    return files.where(~F.col("path").rlike(CODE) | (longest <= L.MINIFIED_LINE))
 
 
 def _slug(text: str) -> str:
@@ -106,21 +109,48 @@ def markdown(path: str, text: str) -> Iterator[Row]:
                 yield edge(here, posixpath.normpath(posixpath.join(posixpath.dirname(path), to)), "references")
 
 
-@register_parser(r"\.(ya?ml|toml|ini|cfg|properties)$|(^|/)Makefile$", "markdown")
+# Files whose keys are listed, by ending or by name.
+CONFIG = r"(?i:\.(properties|ya?ml|toml|ini))$"
+MANIFESTS = (
+    "package.json", "pom.xml", "go.mod", "go.work", "build.gradle", "build.gradle.kts", "settings.gradle", "settings.gradle.kts",
+    "Cargo.toml", "pyproject.toml", "Makefile", "Dockerfile", "docker-compose.yml", "docker-compose.yaml", "Taskfile.yml", "Taskfile.yaml",
+)
+
+
+@register_parser(CONFIG + "|(^|/)(" + "|".join(map(re.escape, MANIFESTS)) + ")$", "markdown")
 def config_keys(path: str, text: str) -> Iterator[Row]:
-    """A node of the file and one of each plain key."""
-    if len(text) > L.CONFIG_BYTES:
+    """A node of the file and one of each plain key; none for files named like secrets."""
+    name = posixpath.basename(path)
+    if len(text.encode()) > L.CONFIG_BYTES or re.search(r"secret|credential|password|^\.env", name.lower()):
         return
-    yield node(path, posixpath.basename(path), "config", "document", path, "L1")
+    yield node(path, name, "config", "config", path, "L1")
     used: dict[str, int] = {}
-    for at, line in enumerate(text.split("\n"), 1):
-        if line.strip()[:1] in ("", "#", ";") or line.strip().startswith("//"):
+    for at, raw in enumerate(text.split("\n"), 1):
+        line = raw.rstrip(" \t\r")
+        if not line or line.lstrip().startswith(("#", "//")) or line != raw and line[0] in " \t":
             continue
-        m = re.match(r"\s*(?:-\s+)?\[?([^=:\]{}\"' ]{1,80})\s*[\]:=]", line)
-        if m and (slug := _slug(m[1])):
-            id_ = f"{path}#{_numbered(used, slug)}"
-            yield node(id_, m[1], "config_key", "document", path, f"L{at}")
-            yield edge(path, id_, "contains")
+        section = line.startswith("[") and line.endswith("]")
+        mark = re.search("[:=]", line)
+        key = line.strip("[]") if section else line[: mark.start()].strip() if mark else ""
+        if not key or len(key.encode()) > 80 or re.search("[{}\"' ]", key) or not (slug := _slug(key)):
+            continue
+        id_ = f"{path}#{_numbered(used, slug)}"
+        yield node(id_, key, "config_key", "config", path, f"L{at}")
+        yield edge(path, id_, "contains")
+
+
+def summary_of(readme: str, size: int = 120) -> str:
+    """The first heading, else the first plain line, of a page; comments, notes and licence headers are skipped."""
+    plain, hidden = "", False
+    for line in map(str.strip, readme.split("\n")):
+        if hidden or line.startswith("<!--"):
+            hidden = "-->" not in line
+        elif line.startswith("#"):
+            if head := line.lstrip("#").strip():
+                return head[:size]
+        elif not plain and line and not line.startswith(("[!", "Licensed to", "license")):
+            plain = line
+    return plain[:size]
 
 
 METHODS = ("get", "put", "post", "delete", "patch", "head", "options", "trace")
@@ -403,7 +433,8 @@ def batches(files: DataFrame) -> list[Batch]:
     out = []
     for name in ("markdown", "code", "manifests", *sorted({p for _, p, _ in _PARSERS} - {"markdown", "code", "manifests"})):
         n = nodes.where(F.col("producer") == name).drop("producer").dropDuplicates(["id"])
-        e = edges.where(F.col("producer") == name).drop("producer").dropDuplicates(["source", "target", "relation"])
+        mine = edges.where(F.col("producer") == name).drop("producer").withColumn("at", F.monotonically_increasing_id())
+        e = last_by_key(mine, ("source", "target", "relation"), "at")
         out.append(Batch(name, n, e))
     return out
 

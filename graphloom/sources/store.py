@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schema import EDGE, NODE, Batch, as_edges, as_nodes
+from ..functions.text import prefixes
 from ..operators import mutate
 
 
@@ -41,16 +45,72 @@ class Store:
     def write(self, nodes: DataFrame, edges: DataFrame) -> int:
         """A new snapshot; the pointer moves by a rename when both tables are there. Returns its number."""
         n = self.current() + 1
-        as_nodes(nodes).select(*NODE.names).write.mode("overwrite").parquet(f"{self.path}/snapshot={n}/nodes")
-        as_edges(edges).select(*EDGE.names).write.mode("overwrite").parquet(f"{self.path}/snapshot={n}/edges")
-        new = self._at(f"{self.path}/.CURRENT-{n}")
+        while self._fs.exists(self._at(f"{self.path}/.claim-{n}")):
+            n += 1
+        # Of two writers that want one number the second fails here, before it writes anything.
+        self._fs.create(self._at(f"{self.path}/.claim-{n}"), False).close()
+        as_nodes(nodes).select(*NODE.names).write.parquet(f"{self.path}/snapshot={n}/nodes")
+        as_edges(edges).select(*EDGE.names).write.parquet(f"{self.path}/snapshot={n}/edges")
+        self.put("CURRENT", str(n))
+        return n
+
+    def put(self, name: str, content: str) -> None:
+        """A small file beside the snapshots, replaced by one rename: readers see the old one or the new one."""
+        new, target = self._at(f"{self.path}/.{name}-{uuid.uuid4().hex}"), self._at(f"{self.path}/{name}")
         out = self._fs.create(new, True)
-        out.write(bytearray(str(n).encode()))
+        out.write(bytearray(content.encode()))
         out.close()
-        target = self._at(f"{self.path}/CURRENT")
-        self._fs.delete(target, False)
-        self._fs.rename(new, target)
-        return n
+        sc = self.spark.sparkContext
+        mode = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        modes = sc._gateway.new_array(mode, 1)
+        modes[0] = mode.OVERWRITE
+        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        context.rename(self._fs.makeQualified(new), self._fs.makeQualified(target), modes)
+
+    def get(self, name: str) -> str:
+        """Content of such a file; empty if there is none."""
+        if not self._fs.exists(self._at(f"{self.path}/{name}")):
+            return ""
+        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first().value
+
+    def _records(self, name: str, key: str, row: dict | None = None, gone: Iterable[str] = ()) -> list[dict]:
+        rows = {r[key]: r for r in json.loads(self.get(name) or "[]")}
+        if row is None and not gone:
+            return list(rows.values())
+        if row:
+            rows[row[key]] = row
+        kept = [rows[k] for k in sorted(rows) if k not in set(gone)]
+        self.put(name, json.dumps(kept, indent=2) + "\n")
+        return kept
+
+    def sources(self) -> list[dict]:
+        """What was gathered: a row per path with ``head``, ``head_unix``, ``added_unix``, ``tree_sig``."""
+        return self._records("source.json", "path")
+
+    def record_source(self, path: str, head: str = "", head_unix: int = 0, added_unix: int = 0, tree_sig: str = "") -> None:
+        self._records("source.json", "path", {"path": path, "head": head, "head_unix": head_unix, "added_unix": added_unix, "tree_sig": tree_sig})
+
+    def stamps(self) -> dict[str, int]:
+        """When each source was captured last, by id."""
+        return {r["id"]: r["captured_unix"] for r in self._records("sources.json", "id")}
+
+    def record_stamp(self, id_: str, captured_unix: int) -> None:
+        self._records("sources.json", "id", {"id": id_, "captured_unix": captured_unix})
+
+    def remove_stamps(self, ids: Iterable[str]) -> None:
+        self._records("sources.json", "id", gone=tuple(ids))
+
+    def lanes(self, path: str, head: str, tree_sig: str, force: bool = False) -> set[str]:
+        """What has to be gathered anew: nothing if the tree is as it was, no history if the head is.
+
+        A path without a record, and one recorded without a signature or head, is gathered whole.
+        """
+        known = next((r for r in self.sources() if r["path"] == path), None)
+        if not force and known and tree_sig and known["tree_sig"] == tree_sig:
+            return set()
+        if not force and known and head and known["head"] == head:
+            return {"files"}
+        return {"files", "history"}
 
     def merge(self, batch: Batch) -> int:
         return self.write(*mutate.merge(self.nodes(), self.edges(), batch))
@@ -105,3 +165,47 @@ def tree_signature(spark: SparkSession, path: str) -> Fingerprint:
     line = F.concat_ws("\u0000", "path", F.col("modificationTime").cast("string"), F.col("length").cast("string"))
     r = files.select(line.alias("l")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("l")), "\n"), 256).alias("s"), F.count("*").alias("n")).first()
     return Fingerprint(r.s, r.n)
+
+
+# Folders in a tree of stores that hold no stores.
+NO_STORES = ("graph", "wiki", "cards", "hooks", "memory", "reflections", "grammars", "toolchain")
+LISTING_DEPTH = 12
+
+
+def stores_below(spark: SparkSession, root: str) -> list[str]:
+    """Keys (paths below ``root``) of the stores in a tree of at most ``LISTING_DEPTH`` levels; folders of stores' parts are skipped."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, todo = [], [("", 0)]
+    while todo:
+        key, depth = todo.pop()
+        here = f"{root.rstrip('/')}/{key}".rstrip("/")
+        if key and fs.exists(path(f"{here}/CURRENT")):
+            found.append(key)
+        if depth >= LISTING_DEPTH or not fs.exists(path(here)):
+            continue
+        for s in fs.listStatus(path(here)):
+            name = s.getPath().getName()
+            if s.isDirectory() and name not in NO_STORES and not name.startswith((".", "snapshot=")):
+                todo.append((f"{key}/{name}".strip("/"), depth + 1))
+    return sorted(found)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """``key``, ``root`` (first part of the key), ``nodes``, ``edges`` of every store below a folder."""
+    parts = [Store(spark, f"{root.rstrip('/')}/{k}") for k in stores_below(spark, root)]
+    rows = [(s.path.removeprefix(root.rstrip("/")).strip("/"), s.nodes().count(), s.edges().count()) for s in parts]
+    return spark.createDataFrame([(k, k.split("/")[0], n, e) for k, n, e in rows], "key string, root string, nodes long, edges long").orderBy("key")
+
+
+def orphan_stores(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """Stores of ``found(key)`` that ``declared(key)`` has not; of nested ones only the outermost."""
+    gone = found.select("key").join(declared.select("key"), "key", "left_anti")
+    inside = gone.select("key", F.explode(prefixes("key", "/")).alias("outer")).where("outer <> key")
+    nested = inside.join(gone.select(F.col("key").alias("outer")), "outer", "left_semi").select("key")
+    return gone.join(nested, "key", "left_anti").orderBy("key")
+
+
+def missing_stores(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """Declared stores that are not there or have no node: what a partial gather has to fill."""
+    return declared.select("key").join(found.where("nodes > 0").select("key"), "key", "left_anti").orderBy("key")

@@ -18,10 +18,25 @@ FEEDBACK = "question string, answer string, type string, nodes array<string>, ou
 AUDIT = "action string, actor string, after_hash string, before_hash string, target string, ts timestamp"
 
 
+# Outcomes that feedback may have.
+OUTCOMES = ("useful", "dead_end", "corrected")
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def append_feedback(results: DataFrame, path: str) -> None:
+    """Appends all rows or none: a question, nodes and a known outcome are required, and a correction if corrected."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    fault = F.when(blank("question"), "question is required").when(~F.coalesce(F.col("outcome").isin(*OUTCOMES), F.lit(False)), "outcome is unknown")
+    fault = fault.when((F.col("outcome") == "corrected") & blank("correction"), "correction is required")
+    bad = results.select(fault.alias("f")).where("f is not null").first()
+    if bad:
+        raise ValueError(bad.f)
+    append(results, path)
+
+
 def read_log(spark: SparkSession, path: str, shape: str, strict: bool) -> DataFrame:
     """``strict``: a bad line fails the read (feedback); else it is skipped (usage, audit)."""
     return spark.read.schema(shape).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
@@ -57,7 +72,7 @@ def running_scores(feedback: DataFrame, half_life: float = L.HALF_LIFE_DAYS) ->
     Rows of a node are folded in the order of their times; a row older than the last one
     is decayed to it, so arrival order does not change the score.
     """
-    sign = F.when(F.col("outcome") == "useful", 1.0).when(F.col("outcome") == "dead_end", -1.0)
+    sign = F.when(F.col("outcome") == "useful", 1.0).when(F.col("outcome").isin("dead_end", "corrected"), -1.0)
     each = feedback.select(F.explode("nodes").alias("node"), sign.alias("sign"), F.unix_seconds("when").alias("t")).where("sign is not null")
     day = 86400.0 * half_life
 

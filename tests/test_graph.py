@@ -71,6 +71,27 @@ def test_resolve_misses(spark, refunds):
     assert resolve.resolve(stub, "url_for").node.id == "z::url_for"
 
 
+def test_many_twins_are_ambiguous(spark):
+    n = make_nodes(spark, [(f"t{i:03}", "read file", "function") for i in range(250)] + [("z", "file read", "function")])
+    with pytest.raises(resolve.Ambiguous):
+        resolve.resolve(n, "read file now")
+    assert resolve.resolve(n.where("id <> 'z'"), "read file now").node.id == "t000"
+
+
+def test_long_path(spark):
+    e = make_edges(spark, [(f"n{i:03}", f"n{i + 1:03}", "calls") for i in range(12)])
+    assert len(traverse.shortest_path(e, "n000", "n012")) == 12
+    with pytest.raises(traverse.NoPath):
+        traverse.shortest_path(e, "n000", "n012", max_depth=5)
+
+
+def test_body_head_counts_bytes(spark):
+    from graphloom.functions.text import body_head
+
+    r = spark.range(1).select(body_head(F.lit("é" * 10 + "\nx\ny"), 2, 8).alias("b"), body_head(F.lit("é" * 3), 2, 5).alias("c")).first()
+    assert r.b == "éééé\n… 1 more" and r.c.startswith("éé") and "é" * 3 != r.c
+
+
 def test_tokens(spark):
     r = spark.range(1).select(tokens(F.lit("HTTPServer blkMqSubmitBio parseURL x")).alias("t"), trigrams(F.lit("ab")).alias("g")).first()
     assert r.t == ["http", "server", "blk", "mq", "submit", "bio", "parse", "url"] and r.g == []
@@ -173,6 +194,12 @@ def test_cochange(spark):
     files = spark.createDataFrame([("c1", "a.go"), ("c1", "a_test.go"), ("c1", "b.go"), ("c2", "a.go"), ("c2", "a_test.go"), ("c3", "a.go"), ("c3", "a_test.go"), ("c4", "a.go"), ("s", "a.go"), ("s", "a_test.go"), ("m", "a.go"), ("m", "b.go"), *many], "commit_id string, path string")
     commits = spark.createDataFrame([(c, i, c == "m") for i, c in enumerate(["c1", "c2", "c3", "c4", "s", "m", "big"])], "commit_id string, seq int, is_merge boolean")
     assert [tuple(r) for r in history.cochanges(commits, files).collect()] == [("a.go", "a_test.go", 4, "0.80")]
+    # Commits of many files don't count, though few of them are live; names of secrets go.
+    wide = [(f"w{c}", f) for c in range(3) for f in ("x.go", "y.go", *(f"gone{i}" for i in range(28)))]
+    hidden = [(f"h{c}", f) for c in range(3) for f in ("p.go", "my_secrets.txt")]
+    both = spark.createDataFrame(wide + hidden, "commit_id string, path string")
+    seqs = both.select("commit_id", F.lit(1).alias("seq"), F.lit(False).alias("is_merge")).distinct()
+    assert history.cochanges(seqs, both, both.where("path like '%.go' or path like '%.txt'").select("path").distinct()).count() == 0
 
 
 @pytest.mark.parametrize("parts", [1, 7])
@@ -184,6 +211,9 @@ def test_communities(spark, parts):
     found = communities.communities(n, e).collect()
     assert [r.size for r in found] == [6, 5] and found[0].community == "a0() (internal/alpha)" and found[1].members == [f"b{i}" for i in range(5)]
     assert communities.communities(n, e, method="lpa").first().size == 11
+    # Two pairs that nothing joins are both left out.
+    apart = make_edges(spark, [("a0", "a1", "calls"), ("b0", "b1", "calls")])
+    assert communities.communities(n, apart).count() == 0 and communities.communities(n, e.unionByName(apart.where("false"))).count() == 2
 
 
 def test_feedback_and_usage(spark):
@@ -192,10 +222,10 @@ def test_feedback_and_usage(spark):
     from datetime import datetime
 
     old, new = datetime(2024, 1, 2), datetime(2024, 2, 1)
-    r = spark.createDataFrame([("q", "", ["n1"], "useful", old), ("q", "fix", ["n1"], "dead_end", new)], shape)
-    assert abs(records.feedback_scores(r, now).first().score + 0.5) < 1e-9
+    r = spark.createDataFrame([("q", "", ["n1"], "useful", old), ("q", "fix", ["n1"], "corrected", new), ("q", "no correction", ["n2"], "dead_end", new)], shape)
+    assert {x.node: round(x.score, 9) for x in records.feedback_scores(r, now).collect()} == {"n1": -0.5, "n2": -1.0}
     preferred, dead, fixes = records.lessons(r, now)
-    assert preferred.count() == 0 and dead.first().node == "n1" and fixes.first().correction == "fix"
+    assert preferred.count() == 0 and [x.node for x in dead.collect()] == ["n2", "n1"] and [x.correction for x in fixes.collect()] == ["fix"]
     u = spark.createDataFrame([(new, "query", 2000), (new, "card", 1500), (datetime(2024, 1, 2), "query", 400)], "ts timestamp, verb string, bytes long")
     s = records.usage_summary(u, now).first()
     assert (s.total, s.today, s.last_7_days, s.est_tokens) == (3, 2, 2, 975)

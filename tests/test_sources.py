@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.schema import Batch
-from graphloom.sources import catalog, connect, export, extract, yaml_lines
+from graphloom.sources import adapters, catalog, connect, export, extract, yaml_lines
 from graphloom.sources.store import Store, read_batch, read_ndjson, tree_signature
 from graphloom.streaming import logs
 
@@ -84,7 +84,7 @@ def test_markdown(gathered):
     assert n["README.md::title"].location == "L1-L6" and n["README.md::part"].location == "L3-L4" and n["README.md::part-2"].location == "L5-L6"
     assert ("README.md::title", "README.md::part-2", "contains") in e and ("README.md::part", "docs/a.md", "references") in e
     assert e["README.md::title", "Other", "references"].confidence == "INFERRED"
-    assert "api.yaml::route:GET /a" in n and "deploy.yaml::route:ANY /v1" in n and "Makefile#run" in n
+    assert "api.yaml::route:GET /a" in n and "deploy.yaml::route:ANY /v1" in n and n["Makefile#run"].file_type == "config"
 
 
 def test_manifests(gathered):
@@ -121,14 +121,14 @@ def test_dependency_links(spark, gathered):
 
 
 def test_read_files(spark, tmp_path):
-    for p, c in (("a.md", "# A"), ("node_modules/x.md", "# X"), (".env.md", "s"), ("b/min.js", "x" * 60_000), ("b/go.mod", "module m"), ("skip/c.md", "# C"), ("package-lock.json", "{}")):
+    for p, c in (("a.md", "# A"), ("node_modules/x.md", "# X"), (".env.md", "s"), ("b/min.js", "x" * 60_000), ("b/go.mod", "module m"), ("skip/c.md", "# C"), ("package-lock.json", "{}"), ("secret_scan.py", "x = 1"), ("my-secrets.yaml", "a: 1")):
         (tmp_path / p).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / p).write_text(c)
     ignored = spark.createDataFrame([("skip",)], "path string")
     files = extract.read_files(spark, str(tmp_path), ignored)
-    assert {r.path for r in files.collect()} == {"a.md", "b/go.mod"}
+    assert {r.path for r in files.collect()} == {"a.md", "b/go.mod", "secret_scan.py"}
     assert [tuple(r) for r in extract.scan_modules(files).collect()] == [("b", "go.mod")]
-    assert tree_signature(spark, str(tmp_path)).files == 6  # hidden files are not listed
+    assert tree_signature(spark, str(tmp_path)).files == 8  # hidden files are not listed
 
 
 def test_yaml_lines():
@@ -145,6 +145,63 @@ def test_store(spark, tmp_path):
     assert s.prune_orphans(spark.createDataFrame([], "producer string")) == ["source:X"] and s.nodes().count() == 2
 
 
+def test_store_records(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    assert s.sources() == [] and s.stamps() == {} and s.lanes("/r", "h", "t") == {"files", "history"}
+    s.record_source("/r", "h", 1, 2, "t")
+    s.record_source("/q", "i")
+    s.record_source("/r", "h", 1, 3, "t2")
+    assert [(r["path"], r["added_unix"]) for r in s.sources()] == [("/q", 0), ("/r", 3)]
+    assert s.lanes("/r", "h", "t2") == set() and s.lanes("/r", "h", "t3") == {"files"} and s.lanes("/r", "g", "t3") == {"files", "history"} and s.lanes("/r", "h", "t2", force=True) == {"files", "history"}
+    s.record_stamp("b", 5)
+    s.record_stamp("a", 6)
+    s.remove_stamps(["b", "c"])
+    assert s.stamps() == {"a": 6}
+    # A snapshot number that another writer holds is not used.
+    s.write(*(lambda b: (b.nodes, b.edges))(batch(spark, "A", ["a1"])))
+    (tmp_path / "store" / ".claim-2").write_text("")
+    assert s.write(s.nodes(), s.edges()) == 3 and s.nodes().count() == 1 and s.current() == 3
+
+
+def test_adapters(spark, tmp_path):
+    doc = json.dumps({"nodes": [{"id": "x", "label": "x", "kind": "k", "file_type": "f", "source": "s"}], "edges": [{"source": "x", "target": "x", "relation": "r", "confidence": "EXTRACTED"}]})
+    adapters.register_adapter("one")(lambda s: adapters.command(s, "one", f"echo '{doc}'", str(tmp_path)))
+    s = Store(spark, str(tmp_path / "store"))
+    assert adapters.run_adapters(s, "one")["one"].added == 1 and s.nodes().first().metadata["producer"] == "one" and s.edges().count() == 1
+    for bad in ("exit 3", "echo nothing"):
+        with pytest.raises(adapters.AdapterError):
+            adapters.command(spark, "bad", bad, str(tmp_path))
+    with pytest.raises(adapters.AdapterError):
+        adapters.run_adapters(s, "none")
+
+
+def test_summaries():
+    assert extract.summary_of("<!-- a\nb -->\n[!x]\nLicensed to X\nplain\n## The *Head*\n") == "The *Head*"
+    assert extract.summary_of("\n" + "w" * 200) == "w" * 120 and extract.summary_of("") == ""
+
+
+def test_catalog_details(spark):
+    ts = spark.createDataFrame([("public", "o", "table"), ("public", "v", "view")], "schema string, name string, kind string")
+    cs = spark.createDataFrame([("public", "o", "c", "int", True, 1)], "schema string, table string, name string, type string, nullable boolean, ordinal int")
+    ix = spark.createDataFrame([("public", "o", f"i{k:02}") for k in range(25)], "schema string, table string, name string")
+    pt = spark.createDataFrame([("public", "o")] * 3, "schema string, table string")
+    vw = spark.createDataFrame([("public", "v", "s" * 500)], "schema string, table string, definition string")
+    b = catalog.described(catalog.shape("postgres://h/d", ts, cs), "postgres://h/d", catalog.details(ix, pt, vw))
+    m = {r.id: r.metadata for r in b.nodes.collect()}
+    assert m["postgres://h/d/public/o"]["index_count"] == "25" and m["postgres://h/d/public/o"]["indexes"].endswith("i19") and m["postgres://h/d/public/o"]["partitions"] == "3"
+    assert m["postgres://h/d/public/v"]["definition"] == "s" * 400 + "…" and "pk" in m["postgres://h/d/public/o/c"]
+
+
+def test_feedback_is_checked(spark, tmp_path):
+    shape = "question string, nodes array<string>, outcome string, correction string"
+    with pytest.raises(ValueError):
+        logs.append_feedback(spark.createDataFrame([("q", ["n"], "corrected", "")], shape), str(tmp_path / "f"))
+    with pytest.raises(ValueError):
+        logs.append_feedback(spark.createDataFrame([("q", ["n"], "liked", "")], shape), str(tmp_path / "f"))
+    logs.append_feedback(spark.createDataFrame([("q", ["n"], "useful", "")], shape), str(tmp_path / "f"))
+    assert spark.read.json(str(tmp_path / "f")).count() == 1
+
+
 def test_exports(spark, tmp_path):
     n = make_nodes(spark, [("b", 'B "q"', "class", "b.go", {"producer": "p"}), ("a", "A&A", "function"), ("c", "A&A", "function"), ("module://m", "m", "module")])
     e = make_edges(spark, [("a", "b", "calls"), ("a", "module://m", "imports")])
