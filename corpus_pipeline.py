@@ -1,6 +1,9 @@
 """The corpus pipeline: five stages that each call one training-data operator.
 
-``run`` applies them to ``documents``. A stage's result is written to the folder in
+``run`` applies them to ``documents``. All stages but the last return the columns they were
+given, whatever those are called, and treat rows alike: repeated rows stay or go together
+(near-copy removal keeps one of them), long texts are read whole, an empty table gives an
+empty one. A stage's result is written to the folder in
 ``spark.checkpoint.dir`` and read again as the next stage's input.
 """
 
@@ -14,27 +17,36 @@ from graphloom.llm.queries import vocabulary_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language classifier rejects go."""
+    """Documents that the language classifier rejects go: null texts, texts without letters, narrow margins.
+
+    A null id is kept as it is and not learned from; a null lang is not learned from.
+    """
     return language_id.keep_identified(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
+    """One document of each near-duplicate group stays: the one with the smallest id, a null id only if there is no other.
+
+    Ties of ids are settled by the text's hash. Null texts and texts without words are one group.
+    """
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold enough of the benchmark go."""
+    """Documents with a whole 13-word window of a benchmark text, or a twentieth of their words in windows, go.
+
+    Null and empty texts stay; a benchmark item without words or id removes nothing.
+    """
     return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a rule finds a secret go."""
+    """Documents in which a rule finds a secret go; null and empty texts stay."""
     return secret_scan.remove_leaks(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left, with the ids themselves."""
+    """Token counts and digests of what is left, with the ids themselves; a null text has none. A row for each row."""
     return bpe.encode(docs.select("doc_id", "text"), vocabulary_path(), ids=True)
 
 
