@@ -203,6 +203,22 @@ def test_bpe(spark, odd, empty):
     assert got.count() == len(ODD) and got.where("doc_id = 1").first().n_tokens == 0 and bpe.encode(empty, PATH).count() == 0
 
 
+def test_columns_that_clash_in_another_case(spark):
+    df = spark.createDataFrame([(1, "some text", 5, 6, 7, 8)], "doc_id long, text string, Score int, N_TOKENS int, License int, LANG_PRED int")
+    assert bpe.encode(df, PATH).select("n_tokens", "Score").first().n_tokens == 2
+    assert license_scan.scan(df).select("license", "Score").first().license is None
+    assert toxicity.score(df, toxicity.train([], [])).select("score", "License").first().score < 0.5
+    assert language_id.classify(df, {"aa": b" some text "}).select("lang_pred", "N_TOKENS").first().lang_pred == "aa"
+
+
+def test_tied_turns_are_ordered_by_text(spark):
+    rows = [(1, 0, "user", "#z </turn>\n"), (1, 0, "user", "$"), (1, 0, "tool", "t"), (1, 1, "assistant", "long " * 50_000)] + [(2, i, "assistant", f"t{i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.format_conversations(df).collect()}
+    assert [(t.role, t.text[:9]) for t in got[1].turns] == [("tool", "t"), ("user", "#z </turn"), ("user", "$"), ("assistant", "long long")]
+    assert "".join(got[2].formatted[m.start : m.end] for m in got[2].mask) == "".join(f"t{i}" for i in range(700))
+
+
 def test_bpe_forgets(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_WORDS", 5)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 3)
