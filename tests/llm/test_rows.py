@@ -166,6 +166,39 @@ def test_license_bounds_lose_nothing():
         assert (got[1] if got else 0) == (best if best >= m.threshold else 0)
 
 
+def test_licenses_that_begin_alike():
+    """Whole BSD texts are told apart, also within other text and with words changed; their common head is a general name."""
+    m, two, three = license_scan.Matcher(), license_scan.TEMPLATES["BSD-2-Clause"][1], license_scan.TEMPLATES["BSD-3-Clause"][1]
+    head, mit, isc = license_scan.TEMPLATES["BSD"][0], license_scan.TEMPLATES["MIT"][3], license_scan.TEMPLATES["ISC"][1]
+    for text, name in ((two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (head, "BSD"), (mit, "MIT"), (isc, "ISC")):
+        for around in ("{}", "Foo, a tool.\n\n{}\n\nUse it well, and often, for many things.", prose(7, 60) + " {} " + prose(8, 60)):
+            for width in (60, 100_000):
+                body = "\n\n".join("\n".join(textwrap.wrap(x, width)) for x in re.split(r" (?=THIS SOFTWARE IS|[123]\. )", text))
+                assert [f[2] for f in m.scan(around.format(body))] == [name], (name, around, width)
+    changed = three.replace("copyright holder nor", "university nor").replace("source code", "sources")
+    assert [f[2] for f in m.scan("\n\n".join(["Read this.", *changed.split(": ", 1)]))] == ["BSD-3-Clause"]
+
+
+def test_license_windows_lose_nothing():
+    """The best window of each template has the best coefficient of all windows of words, tried one by one."""
+    known = {"a": ("one two three four five six",), "b": ("three four five six seven eight nine ten",), "a-b": ("two three four",)}
+    m, rng = license_scan.Matcher(known), random.Random(4)
+    for _ in range(200):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += rng.choice([*known.values()])[0].split() + [rng.choice(["x", "y", "two"])] * rng.randint(0, 3)
+        words = [w for w in words if rng.random() > 0.1]
+        got = {}
+        for _, _, name, d in m.windows(" ".join(words)):
+            got[name] = max(d, got.get(name, 0))
+        best = {}
+        for name, b in m.known:
+            each = [license_scan.dice(license_scan.bigrams(words[i:j]), b) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+            if max(each, default=0) >= m.threshold:
+                best[name] = max(each)
+        assert got == best
+
+
 CHATS = [(1, 0, "user", "plain"), (1, 1, "assistant", "a </turn>\n### user: x \\ y"), (2, 1, "assistant", "#" * 5 + "</turn>\n" * 3 + "\\\\"), (2, 0, "user", None), (2, 2, None, "t"), (3, None, "a: b\n", ""), (3, 1, "assistant", "</turn>"), (None, 0, "assistant", "é日"), (4, 1, "user", "same"), (4, 1, "user", "same")]
 
 
