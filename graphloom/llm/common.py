@@ -2,6 +2,7 @@
 
 * ``shared_dir`` / ``materialize``: lineage is cut with Parquet tables in the
   folder named by ``spark.checkpoint.dir``, which every executor sees.
+* ``parted``: rows whose key may be among given keys, apart from the rest, without a shuffle.
 * ``connected_components``: distributed alternating star contraction.
 * ``byte_values``: UTF-8 bytes of a string column of an Arrow batch.
 """
@@ -17,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a map of keys for each key, as far as the whole map stays within 2^27 bits (16 MB), and bits of one of its rows.
+KEY_BITS, MAP_BITS, ROW_BITS = 64, 1 << 27, 1 << 15
+
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
@@ -115,6 +119,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
+def parted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: the rows whose string ``key`` may be in ``keys(key)``, and those whose key is not.
+
+    So a join with few keys need not shuffle all rows. A bit map of the keys' checksums
+    is sent to every task, at most ``MAP_BITS`` whatever the number of keys; beyond that
+    more rows only seem to match, and the join of the first part settles them. Null keys
+    are in the second part. ``df`` is computed once for each part.
+    """
+    n = keys.count()
+    bits = min(max(1 << (KEY_BITS * n).bit_length(), ROW_BITS), MAP_BITS)
+    row, bitmap = fresh(df, "row", "bitmap")
+    bit = F.crc32(F.encode(key, "UTF-8")).bitwiseAND(F.lit(bits - 1))
+    at = F.pmod(bit, F.lit(ROW_BITS)).cast("int")
+    maps = keys.select(key).groupBy((bit / ROW_BITS).cast("int").alias(row)).agg(F.bitmap_construct_agg(at).alias(bitmap))
+    # MAP_BITS / ROW_BITS rows of ROW_BITS at most.
+    joined = df.withColumn(row, (bit / ROW_BITS).cast("int")).join(F.broadcast(maps), row, "left")
+    byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    known = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))
+    return joined.where(known).select(*df.columns), joined.where(~known).select(*df.columns)
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Smallest node reachable from each node of ``edges(a bigint, b bigint)``; columns ``node``, ``root``.
 

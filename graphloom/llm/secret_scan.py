@@ -7,7 +7,8 @@ text; keys are digests of (id, text), so that a group of copies stays spread. Po
 are matched with the queries' clauses and intersected by counting: a key is a
 candidate of a rule if it has all trigrams of one alternative. Candidates are verified
 with the regular expression on the whole text. Rules without a mandatory trigram scan
-every text. Index and texts meet in one join on the key.
+every text. Index and texts meet in one join on the key, for which only texts whose key
+may be a candidate's are shuffled.
 
 Positions come from splitting: the pieces between matches and the matches themselves,
 in turn, add up to the text, so running sums of their lengths are the spans.
@@ -23,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prefix_sums
+from .common import fresh, materialize, parted, prefix_sums
 
 
 @dataclass(frozen=True)
@@ -170,7 +171,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
     whole = docs.withColumn(own_key, key)
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
     hits = candidates(whole.select(F.col(own_key).alias("key"), F.col(text).alias("text")), indexed)
-    met = whole.join(hits.select(F.col("key").alias(own_key), F.col("rules").alias(own_rules)), own_key, "left")
+    hits = materialize(hits.select(F.col("key").alias(own_key), F.col("rules").alias(own_rules)), "secret-candidates")
+    maybe, rest = parted(whole, hits.select(own_key), own_key)
+    met = maybe.join(hits, own_key, "left").unionByName(rest.withColumn(own_rules, F.lit(None).cast("array<string>")))
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     parts = []

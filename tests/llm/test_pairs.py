@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from graphloom.llm import embedding_dedup, simhash, substring_dedup
+from graphloom.llm import common, embedding_dedup, simhash, substring_dedup
 from graphloom.llm.common import connected_components
 from graphloom.llm.decontam import words_of
 
@@ -43,6 +43,20 @@ def test_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
+def test_parted(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    df = spark.createDataFrame([(f"key {i % 3000}", i) for i in range(6000)] + [(None, -1)], "k string, row long")
+    keys = spark.createDataFrame([(f"key {i}",) for i in range(0, 4000, 2)] * 2 + [(None,)], "k string")
+    maybe, rest = common.parted(df, keys, "k")
+    assert maybe.columns == rest.columns == ["k", "row"]
+    apart = {r.row for r in rest.collect()}
+    assert sorted([*apart, *(r.row for r in maybe.collect())]) == list(range(-1, 6000))
+    assert -1 in apart and not any(i >= 0 and i % 3000 % 2 == 0 for i in apart)
+    assert len(apart) > (2800 if bits > 1 << 15 else 2500)
+    assert common.parted(df, keys.where("false"), "k")[0].count() == 0
+
+
 def brute_fingerprint(text):
     words = re.findall("[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
