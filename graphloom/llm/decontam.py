@@ -28,7 +28,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, fresh, materialize, sliced
+from .common import byte_values, fresh, materialize, parted, sliced
 
 WINDOW_WORDS = 13
 #: Bytes of a set of words that is sent to every task; a larger one is sent as a bit map of this size.
@@ -242,7 +242,8 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -
     around it is, or if windows cover a twentieth of its words; items of fewer words say
     too little to count alone. Null and empty texts stay; rows with equal texts stay or
     go together. With an empty benchmark all stay; an empty table gives an empty result.
-    Decisions are made per distinct text, and only the keys of contaminated ones are joined.
+    Decisions are made per distinct text, and only rows whose key may be that of a
+    contaminated text are shuffled for the join with those keys.
     """
     (name,) = fresh(docs, "key")
     key = F.sha2(F.col(text), 256)
@@ -250,4 +251,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -
     rows, hit = find(own, items, ["key"])
     bad = rows.join(hit, "key").where((F.col("longest") >= WINDOW_WORDS) | _contaminated(F.col("n_hit"), F.col("n_words")))
     bad = materialize(bad.select(F.col("key").alias(name)).distinct(), "contaminated")
-    return docs.withColumn(name, key).join(bad, name, "left_anti").select(*docs.columns)
+    maybe, rest = parted(docs.withColumn(name, key), bad, name)
+    return maybe.join(bad, name, "left_anti").unionByName(rest).select(*docs.columns)
