@@ -27,6 +27,8 @@ SAMPLE_TEXTS = 120
 SAMPLE_TEXT_BYTES = 1500
 DICTIONARY_BYTES = 32 << 10
 CHUNK_BYTES = 2048
+#: Parts in which the hashes of one language are ranked, before those that each part keeps are ranked together.
+RANK_PARTS = 32
 #: A choice whose size isn't smaller than the second by this part, less a byte for rounding, is rejected.
 MIN_MARGIN = 0.002
 UNDETERMINED = "und"
@@ -39,13 +41,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 
     Rows without a text or language are not used. Every language is learned, so the
     sample and the dictionaries grow with the number of languages. Hashes are ranked
-    first, without the texts; the ranking keeps at most ``SAMPLE_TEXTS`` rows of a
-    language per task before its shuffle, and only the chosen texts are read again.
+    first, without the texts, in ``RANK_PARTS`` parts of a language and then over what the
+    parts keep, so a language never has more than ``RANK_PARTS * SAMPLE_TEXTS`` rows in
+    one task; only the chosen texts are read again.
     """
     own = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null and length(t) > 0")
     own = own.withColumn("h", F.xxhash64(F.lit(17), "t"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    chosen = own.select("l", "h").distinct().withColumn("r", rank).where(F.col("r") <= SAMPLE_TEXTS).drop("r")
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+    first = own.select("l", "h").distinct().withColumn("part", F.pmod("h", F.lit(RANK_PARTS)))
+    first = first.withColumn("r", rank("l", "part")).where(F.col("r") <= SAMPLE_TEXTS)
+    chosen = first.withColumn("r", rank("l")).where(F.col("r") <= SAMPLE_TEXTS).select("l", "h")
     # SAMPLE_TEXTS pairs of a language and a hash for each language.
     picked = own.join(F.broadcast(chosen), ["l", "h"]).select("l", "h", F.substring("t", 1, SAMPLE_TEXT_BYTES).alias("t"))
     parts: dict[str, list[bytes]] = {}
