@@ -249,6 +249,25 @@ def test_near_passages_are_recalled(spark):
     assert all(c == i - i % 10 for i, c in got.items())
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_no_neighbour_hides_a_near_passage(spark, monkeypatch, block):
+    """Many edited copies of one text, of which few share a passage: classes as all pairs give them, however groups are dealt in blocks."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rng, base, docs = random.Random(1), prose(60_001, 140, 3000).split(), []
+    for i in range(120):
+        w, at = base[:], rng.randint(0, 17)
+        while at < len(w):
+            w[at] = f"edit{i}x{at}"
+            at += rng.randint(17, 34)
+        docs.append((i, " ".join(w)))
+    hashes = [substring_dedup.shingles([w.encode() for w in t.split()]) for _, t in docs]
+    linked = {(i, j) for i in range(120) for j in range(i) if substring_dedup.verify(hashes[j], hashes[i])}
+    classes = reachable(range(120), lambda x, y: (max(x, y), min(x, y)) in linked)
+    want = {i: c for i, c in classes.items() if any(i in p for p in linked)}
+    got = {r.doc_id: r.class_id for r in substring_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(want) > 60 and got == want
+
+
 def test_passages_of_copies(spark):
     """Documents of equal texts are one class; a hot passage in many texts, dealt over many ranges, is one class, too."""
     same, short, hot = prose(41, 80), prose(42, 20), prose(43, 70)
