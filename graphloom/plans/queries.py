@@ -173,8 +173,13 @@ def reachable_depths(spark, sf):
 walk as (select 'customer:1' as id, 0 as depth union select b, depth + 1 from walk join both_ways on a = id where depth < 6)
 select min(depth) as steps from walk where id = 'nation:14'""")
 def shortest_path_length(spark, sf):
+    """Null without a path of six steps at most, as in the SQL."""
     near = walked(spark, sf)[1].where(F.col("relation").isin("in_nation", "in_region"))
-    return spark.createDataFrame([(len(traverse.shortest_path(near, "customer:1", "nation:14")),)], "steps int")
+    try:
+        steps = len(traverse.shortest_path(near, "customer:1", "nation:14", 6))
+    except traverse.NoPath:
+        steps = None
+    return spark.createDataFrame([(steps,)], "steps int")
 
 
 @query()

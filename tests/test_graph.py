@@ -257,3 +257,14 @@ def test_plan_and_view(refunds):
     shown, inside = cards.viewer_payload(n, e, limit=2)
     assert shown.count() == 2 and inside.count() == 1
     assert {r.id for r in cards.viewer_payload(n, e, center="service")[0].collect()} == {"api", "db", "service", "worker"}
+
+
+def test_path_length_without_a_path(spark, monkeypatch):
+    from graphloom.plans import queries
+
+    chain = lambda n: [("customer:1", "x0", "in_nation"), *((f"x{i}", f"x{i + 1}", "in_region") for i in range(n)), (f"x{n}", "nation:14", "in_region")]
+    found = []
+    for rows in ([("customer:1", "nation:2", "in_nation"), ("nation:14", "region:1", "in_region")], chain(4), chain(5)):
+        monkeypatch.setattr(queries, "walked", lambda spark, sf, rows=rows: (None, make_edges(spark, rows)))
+        found.append(queries.shortest_path_length(spark, "").first().steps)
+    assert found == [None, 6, None]
