@@ -268,3 +268,25 @@ def test_streams(spark, tmp_path):
     q = logs.running_scores(logs.stream_log(spark, str(tmp_path / "fb"), logs.FEEDBACK)).writeStream.outputMode("update").format("memory").queryName("scores").trigger(availableNow=True).start()
     q.awaitTermination()
     assert abs(spark.table("scores").first().score + 0.5) < 1e-9
+
+
+def test_markdown_of_many_sections():
+    """Each heading is looked at once: a page of many sections took the square of their number."""
+    import random
+    import time
+
+    def plain(heads, size):
+        for k, (at, level) in enumerate(heads):
+            end = next((i - 1 for i, n in heads[k + 1 :] if n <= level), size)
+            above = next((j for j in range(k - 1, -1, -1) if heads[j][1] < level and not any(heads[m][1] <= heads[j][1] for m in range(j + 1, k))), None)
+            yield f"L{at}-L{end}", above
+
+    rng = random.Random(7)
+    levels = [rng.randint(1, 6) for _ in range(200)]
+    found = list(extract.markdown("a.md", "\n".join("#" * n + f" h{k}\nx" for k, n in enumerate(levels))))
+    nodes, up = [r for r in found if r.get("kind") == "section"], {r["target"]: r["source"] for r in found if r.get("relation") == "contains"}
+    want = list(plain([(2 * k + 1, n) for k, n in enumerate(levels)], 2 * len(levels)))
+    assert [(n["location"], up[n["id"]]) for n in nodes] == [(at, "a.md" if j is None else nodes[j]["id"]) for at, j in want]
+    began = time.process_time()
+    assert sum(1 for _ in extract.markdown("a.md", "# All\n" + "## s\nx\n" * 30_000)) == 1 + 2 * 30_001
+    assert time.process_time() - began < 10
