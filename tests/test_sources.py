@@ -290,3 +290,45 @@ def test_markdown_of_many_sections():
     began = time.process_time()
     assert sum(1 for _ in extract.markdown("a.md", "# All\n" + "## s\nx\n" * 30_000)) == 1 + 2 * 30_001
     assert time.process_time() - began < 10
+
+
+ODD = 'import a\nX = """\ndef no(): pass\nclass No: pass\n"""\n@app.get(\'/x\')\ndef f(\na,\n):\n    "D."\n    return g(a)\nif X:\n    f(1)\nelse:\n    g(2)\ntry:\n    f(3)\nexcept E:\n    pass\nfinally:\n    h()\ny = 1 + \\\nf(4)\r\nclass A:\r    def m(self):\n        return f(5)\n'
+
+
+def test_python_in_parts(monkeypatch):
+    """Files parsed in parts give the rows of files parsed whole; strings, brackets and branches go over borders."""
+    import ast
+    import glob
+
+    texts = [ODD, ODD * 3, "", "\n\n", *(open(f).read() for f in sorted(glob.glob(f"{ast.__file__.rpartition('/')[0]}/[a-d]*.py"))[:25])]
+    monkeypatch.setattr(extract, "PYTHON_LINES", 10**9)
+    want = [list(extract.python_source("m.py", t)) for t in texts]
+    assert [r["location"] for r in want[0] if r.get("kind") in ("function", "class", "method")] == ["L7-L11", "L24-L26", "L25-L26"]
+    for size in (1, 7, 90):
+        monkeypatch.setattr(extract, "PYTHON_LINES", size)
+        assert [list(extract.python_source("m.py", t)) for t in texts] == want
+        assert len(extract.python_parts(ODD * 9)) > 1
+    for bad in ("def f():\n    pass\n" * 9 + "else:\n    pass\n", "x = 1\n" * 9 + '"""\n', "x = 1\nx = (\n" + "y = 1\n" * 9):
+        assert [r["row"] for r in extract.python_source("m.py", bad)] == ["node"]
+
+
+def test_few_rows_are_held(spark, monkeypatch):
+    """A parser's rows wait outside the memory; of one that fails late there are none."""
+    import re
+    import tracemalloc
+
+    long = lambda n: ({"row": "node", "id": f"{i:06}" + "x" * 500, "metadata": {}} for i in range(n))
+    tracemalloc.start()
+    assert sum(1 for _ in extract.whole(long(40_000))) == 40_000
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    assert [r["id"][:6] for r in extract.whole(long(4_500))] == [f"{i:06}" for i in range(4_500)]
+
+    def late(path, text):
+        yield from (extract.node(f"{path}{i}", "x", "k", "f", path) for i in range(5_000))
+        if text == "bad":
+            raise ValueError
+
+    monkeypatch.setattr(extract, "_PARSERS", [(re.compile("odd$"), "odd", late)])
+    files = spark.createDataFrame([("a.odd", "good"), ("b.odd", "bad"), ("c.odd", None), ("d", "x")], "path string, content string")
+    assert {(r.source, r["count"]) for r in extract.rows(files).groupBy("source").count().collect()} == {("a.odd", 5_000), ("c.odd", 5_000)}
