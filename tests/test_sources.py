@@ -332,3 +332,16 @@ def test_few_rows_are_held(spark, monkeypatch):
     monkeypatch.setattr(extract, "_PARSERS", [(re.compile("odd$"), "odd", late)])
     files = spark.createDataFrame([("a.odd", "good"), ("b.odd", "bad"), ("c.odd", None), ("d", "x")], "path string, content string")
     assert {(r.source, r["count"]) for r in extract.rows(files).groupBy("source").count().collect()} == {("a.odd", 5_000), ("c.odd", 5_000)}
+
+
+def test_yaml_of_many_documents():
+    """A file's documents are read one after another, without a list of its lines."""
+    import tracemalloc
+
+    text = "\n---\n".join([DEPLOY.rstrip("\n")] * 2_000)
+    tracemalloc.start()
+    found = [(x[0].number, len(x)) for x in yaml_lines.documents(text)]
+    assert tracemalloc.get_traced_memory()[1] < 3 << 20
+    tracemalloc.stop()
+    assert len(found) == 6_000 and found[3][0] == found[0][0] + DEPLOY.count("\n") + 1
+    assert [[x.number for x in d] for d in yaml_lines.documents("a: 1\n---\n---\nb: 2\n\n---")] == [[1], [4]] and list(yaml_lines.documents("")) == []
