@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import limits as L
-from ..functions.tables import cut
+from ..functions.tables import cut, small
 
 
 class NoPath(LookupError):
@@ -53,15 +53,18 @@ def affected(nodes: DataFrame, edges: DataFrame, target: str, depth: int = L.AFF
         back = e.where(F.col("relation").isin(*symmetric)).select(F.col("target").alias("source"), F.col("source").alias("target"), "relation")
         e = e.unionByName(back)
     frontier, seen, levels = _start(e, target), _start(e, target).select("id"), []
+    size = known = 1
     for d in range(1, depth + 1):
-        near = e.join(frontier.select(F.col("id").alias("target"), F.col("place").alias("from_place")), "target")
-        new = near.join(seen.withColumnRenamed("id", "source"), "source", "left_anti")
+        near = e.join(small(frontier.select(F.col("id").alias("target"), F.col("place").alias("from_place")), size), "target")
+        new = near.join(small(seen.withColumnRenamed("id", "source"), known), "source", "left_anti")
         first = F.min(F.struct("from_place", "relation", "target"))
         level = new.groupBy("source").agg(first.alias("m"))
         level = level.select(F.col("source").alias("id"), F.col("m.relation").alias("via"), F.col("m.target").alias("depends_on"), F.col("m.from_place").alias("from_place"))
         level = cut(_numbered(level, "from_place", "id").withColumn("depth", F.lit(d)))
-        if not level.limit(1).count():
+        size = level.count()
+        if not size:
             break
+        known += size
         levels.append(level)
         seen = cut(seen.unionByName(level.select("id")))
         frontier = level.select("id", "place")
@@ -83,12 +86,14 @@ def depths(edges: DataFrame, start: str, depth: int, direction: str = "both") ->
         pairs.append(edges.select(F.col("target").alias("a"), F.col("source").alias("b")))
     e = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
     seen = edges.sparkSession.createDataFrame([(start, 0)], "id string, depth int")
-    frontier = seen.select("id")
+    frontier, size, known = seen.select("id"), 1, 1
     for d in range(1, depth + 1):
-        next_ = e.join(frontier.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id")).distinct()
-        next_ = cut(next_.join(seen, "id", "left_anti"))
-        if not next_.limit(1).count():
+        next_ = e.join(small(frontier.withColumnRenamed("id", "a"), size), "a").select(F.col("b").alias("id")).distinct()
+        next_ = cut(next_.join(small(seen, known), "id", "left_anti"))
+        size = next_.count()
+        if not size:
             break
+        known += size
         seen = cut(seen.unionByName(next_.withColumn("depth", F.lit(d))))
         frontier = next_
     return seen
@@ -102,39 +107,78 @@ class Step:
     direction: str
 
 
+class _Front:
+    """One end of a walk: the ids reached last and before, and the edges from each level to the next."""
+
+    def __init__(self, edges: DataFrame, node: str):
+        self.edges, self.size, self.known = edges, 1, 1
+        self.ids = self.seen = _start(edges, node).select("id")
+        self.levels: list[DataFrame] = []
+
+    def go_on(self) -> bool:
+        """One level farther; false where there is nothing new."""
+        near = self.edges.join(small(self.ids.withColumnRenamed("id", "a"), self.size), "a")
+        near = cut(near.join(small(self.seen.withColumnRenamed("id", "b"), self.known), "b", "left_anti").select("a", "b", "relation", "dir"))
+        self.ids = cut(near.select(F.col("b").alias("id")).distinct())
+        self.size = self.ids.count()
+        self.known += self.size
+        self.seen = self.seen.unionByName(self.ids)
+        self.levels.append(near)
+        return self.size > 0
+
+    def back(self, ids: DataFrame) -> list[DataFrame]:
+        """Of each level, the first one first, the edges by which a shortest walk reaches ``ids`` of the last one."""
+        out = []
+        for level in reversed(self.levels):
+            out.append(cut(level.join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b", "relation", "dir")))
+            ids = out[-1].select(F.col("a").alias("id")).distinct()
+        return out[::-1]
+
+
 def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int | None = None) -> list[Step]:
     """Steps of a shortest walk, edges taken either way (``->`` or ``<-``); none if both ends are one.
 
     Among parents in the level before, the first in the order of the walk; among
     parallel edges the least relation, forwards before backwards.
+
+    Both ends are walked from, the smaller front first, until they meet: that gives the
+    edges of all shortest walks. All parents of a node on such a walk, in the level before,
+    are on one, too, so the order of the walk among them is that among all nodes.
     """
     if start == goal:
         return []
     out = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), "relation", F.lit("->").alias("dir"))
     into = edges.select(F.col("target").alias("a"), F.col("source").alias("b"), "relation", F.lit("<-").alias("dir"))
     e = out.unionByName(into)
-    frontier, seen, levels = _start(e, start), _start(e, start).select("id"), []
+    fronts = _Front(e, start), _Front(e, goal)
     for _ in itertools.count() if max_depth is None else range(max_depth):
-        near = e.join(frontier.select(F.col("id").alias("a"), F.col("place").alias("from_place")), "a")
-        new = near.join(seen.withColumnRenamed("id", "b"), "b", "left_anti")
-        first = F.min(F.struct("from_place", F.when(F.col("dir") == "->", 0).otherwise(1).alias("back"), "relation", "a", "dir"))
-        level = new.groupBy("b").agg(first.alias("m")).select(F.col("b").alias("id"), "m.from_place", "m.a", "m.relation", "m.dir")
-        level = cut(_numbered(level, "from_place", "id"))
-        if not level.limit(1).count():
+        if not min(fronts, key=lambda f: (f.size, len(f.levels))).go_on():
             break
-        levels.append(level)
-        if level.where(F.col("id") == goal).limit(1).count():
-            steps, at = [], goal
-            for past in reversed(levels):
-                r = past.where(F.col("id") == at).first()
-                steps.append(Step(r.a, at, r.relation, r.dir))
-                at = r.a
-            return steps[::-1]
-        seen = cut(seen.unionByName(level.select("id")))
-        frontier = level.select("id", "place")
+        met = fronts[0].ids.join(fronts[1].ids, "id", "left_semi")
+        if met.limit(1).count():
+            turned = lambda x: x.select(F.col("b").alias("a"), F.col("a").alias("b"), "relation", F.when(F.col("dir") == "->", "<-").otherwise("->").alias("dir"))
+            met = cut(met)
+            return _first_walk(_start(e, start), goal, fronts[0].back(met) + [turned(x) for x in reversed(fronts[1].back(met))])
     raise NoPath(f"no path from {start!r} to {goal!r}")
 
 
+def _first_walk(frontier: DataFrame, goal: str, steps: list[DataFrame]) -> list[Step]:
+    """The first walk to ``goal`` along edges ``a``, ``b``, ``relation``, ``dir`` from level to level."""
+    levels = []
+    for near in steps:
+        near = near.join(frontier.select(F.col("id").alias("a"), F.col("place").alias("from_place")), "a")
+        first = F.min(F.struct("from_place", F.when(F.col("dir") == "->", 0).otherwise(1).alias("back"), "relation", "a", "dir"))
+        level = near.groupBy("b").agg(first.alias("m")).select(F.col("b").alias("id"), "m.from_place", "m.a", "m.relation", "m.dir")
+        levels.append(cut(_numbered(level, "from_place", "id")))
+        frontier = levels[-1].select("id", "place")
+    walk, at = [], goal
+    for past in reversed(levels):
+        r = past.where(F.col("id") == at).first()
+        walk.append(Step(r.a, at, r.relation, r.dir))
+        at = r.a
+    return walk[::-1]
+
+
 def neighborhood(nodes: DataFrame, edges: DataFrame, center: str, depth: int = 1, limit: int = L.VIEW_LIMIT) -> DataFrame:
     """Nodes within ``depth`` (3 at most) edges either way, nearest first, then by id, ``limit`` at most.
 

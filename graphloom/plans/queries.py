@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import limits as L
 from ..functions import text
 from ..functions.schema import producer
-from ..functions.tables import cut
+from ..functions.tables import written
 from ..operators import cards, communities, filters, history, links, records, resolve, search, traverse
 from ..sources import catalog
 from .demo_graph import GRAPH_SQL, edges, nodes, table
@@ -38,7 +38,7 @@ def g(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def walked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The graph for walks: edges, here made from tables, are written once rather than made again for each level."""
-    return nodes(spark, sf), cut(edges(spark, sf))
+    return nodes(spark, sf), written(edges(spark, sf).select("source", "target", "relation", "confidence"), "walked")
 
 
 def where(**flags: str) -> filters.Predicate:

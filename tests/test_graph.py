@@ -268,3 +268,46 @@ def test_path_length_without_a_path(spark, monkeypatch):
         monkeypatch.setattr(queries, "walked", lambda spark, sf, rows=rows: (None, make_edges(spark, rows)))
         found.append(queries.shortest_path_length(spark, "").first().steps)
     assert found == [None, 6, None]
+
+
+def test_path_from_both_ends(spark):
+    """On random graphs the walk is the one that a plain first-in-first-out walk finds, and few edges are looked at again."""
+    import random
+
+    def plain(rows, start, goal):
+        both = [(a, b, 0, r) for a, b, r in rows] + [(b, a, 1, r) for a, b, r in rows]
+        order, seen, came = [start], {start}, {}
+        while order and goal not in seen:
+            place = {x: i for i, x in enumerate(order)}
+            best = {}
+            for a, b, back, r in both:
+                if a in place and b not in seen:
+                    best[b] = min(best.get(b, (10**9,)), (place[a], back, r, a))
+            came |= best
+            order = sorted(best, key=lambda b: (best[b][0], b))
+            seen |= set(order)
+        steps, at = [], goal
+        while at != start and goal in seen:
+            _, back, r, a = came[at]
+            steps.append((a, at, r, "<-" if back else "->"))
+            at = a
+        return steps[::-1]
+
+    rng = random.Random(5)
+    for _ in range(2):
+        rows = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", rng.choice("xyz")) for _ in range(34)]
+        want = plain(rows, "n1", "n2")
+        try:
+            found = [(s.source, s.target, s.relation, s.direction) for s in traverse.shortest_path(make_edges(spark, rows), "n1", "n2")]
+        except traverse.NoPath:
+            found = []
+        assert found == want
+    # A hub next to the start is not walked through: the goal's side is smaller.
+    star = [("s", "hub", "x"), ("hub", "t", "x"), *(("hub", f"n{i}", "x") for i in range(50))]
+    fronts = []
+    old, traverse._Front.go_on = traverse._Front.go_on, lambda self: (old(self), fronts.append(self.size))[0]
+    try:
+        assert len(traverse.shortest_path(make_edges(spark, star), "s", "t")) == 2
+    finally:
+        traverse._Front.go_on = old
+    assert max(fronts) == 1
