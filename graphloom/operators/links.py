@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.tables import cut, small
 
 # Modules that come with the runtime.
 NODE_BUILTINS = (
@@ -86,15 +87,17 @@ def resolve_calls(calls: DataFrame, declarations: DataFrame) -> DataFrame:
 def select_workloads(services: DataFrame, workloads: DataFrame) -> DataFrame:
     """``services(id, namespace, selector)`` to ``workloads(id, namespace, labels)`` whose labels hold the selector.
 
-    Joined on one pair of the selector (its first key by name) as well as the namespace,
-    so that a namespace of many workloads is not compared with all its services.
+    Workloads get, for each set of keys that selectors of their namespace have, their values of
+    these keys, and are joined on all of them: a pair that very many have is never joined alone.
     """
-    first = F.try_element_at(F.array_sort(F.map_keys("selector")), F.lit(1))
-    s = services.where(F.size("selector") > 0).withColumn("k", first).withColumn("v", F.try_element_at("selector", F.col("k")))
-    w = workloads.select(F.col("id").alias("workload"), "namespace", "labels", F.explode("labels").alias("k", "v"))
-    met = s.join(w, ["namespace", "k", "v"])
-    held = F.forall(F.map_entries("selector"), lambda e: F.coalesce(F.try_element_at("labels", e["key"]) == e["value"], F.lit(False)))
-    return met.where(held).select(F.col("id").alias("service"), "workload")
+    s = services.where(F.size("selector") > 0).withColumn("keys", F.array_sort(F.map_keys("selector")))
+    s = s.select(F.col("id").alias("service"), "namespace", "keys", F.transform("keys", lambda k: F.try_element_at("selector", k)).alias("values"))
+    sets = s.select("namespace", "keys").distinct().groupBy("namespace").agg(F.collect_list("keys").alias("sets"))
+    w = workloads.select(F.col("id").alias("workload"), "namespace", "labels").join(sets, "namespace")
+    w = w.select("workload", "namespace", "labels", F.explode("sets").alias("keys"))
+    w = w.select("workload", "namespace", "keys", F.transform("keys", lambda k: F.try_element_at("labels", k)).alias("values"))
+    met = s.where(~F.exists("values", F.isnull)).join(w.where(~F.exists("values", F.isnull)), ["namespace", "keys", "values"])
+    return met.select("service", "workload")
 
 
 def scope_union(declares: DataFrame) -> DataFrame:
@@ -104,9 +107,17 @@ def scope_union(declares: DataFrame) -> DataFrame:
 
 def module_of(paths: DataFrame, modules: DataFrame) -> DataFrame:
     """``paths(path)`` and ``modules(name, path)``: the deepest module that holds each path, null if none."""
-    rules = modules.select(F.col("path").alias("prefix"), F.col("name").alias("module"))
-    found = longest_prefix(paths.select(F.col("path").alias("name")), rules)
-    return paths.join(found.select(F.col("name").alias("path"), "module"), "path", "left")
+    rules = modules.where("path is not null").groupBy(F.col("path").alias("prefix")).agg(F.max("name").alias("m"))
+    rules = cut(rules.withColumn("depth", F.size(F.split("prefix", "/"))))
+    sizes = {r.depth: r["count"] for r in rules.groupBy("depth").count().collect()}
+    # A join for each depth that modules have, the deepest first; modules are few, so paths needn't be moved.
+    out, names = paths, []
+    for depth in sorted(sizes, reverse=True):
+        names.append(f"__m{depth}")
+        own = small(rules.where(F.col("depth") == depth).select(F.col("prefix").alias("__p"), F.col("m").alias(names[-1])), sizes[depth])
+        out = out.withColumn("__p", F.substring_index("path", "/", depth)).join(own, "__p", "left").drop("__p")
+    module = F.coalesce(*names, F.lit(None).cast("string"))
+    return out.select("path", *[c for c in paths.columns if c != "path"], module.alias("module"))
 
 
 def owners(index: DataFrame, label: str) -> DataFrame:

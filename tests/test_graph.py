@@ -311,3 +311,36 @@ def test_path_from_both_ends(spark):
     finally:
         traverse._Front.go_on = old
     assert max(fronts) == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_modules_are_joined_where_paths_are(spark):
+    paths = spark.createDataFrame([(p, i) for i, p in enumerate(("a", "a/b", "a/b/c", "a/b/c/d.py", "ab/x", "", None, "a/b", "z"))], "path string, k int")
+    modules = spark.createDataFrame([("top", "a"), ("deep", "a/b/c"), ("none", None), ("z1", "z"), ("z2", "z")], "name string, path string")
+    found = links.module_of(paths, modules)
+    assert found.columns == ["path", "k", "module"]
+    assert [r.module for r in found.orderBy("k").collect()] == ["top", "top", "deep", "deep", None, None, None, "top", "z2"]
+    assert "SortAggregate" not in _plan(found) and "SortMergeJoin" not in _plan(found)
+
+
+def test_selectors_are_joined_on_all_pairs(spark):
+    services = spark.createDataFrame([("s1", "n", {"a": "1", "b": "2"}), ("s2", "n", {"b": "2"}), ("s3", "m", {"a": "1"}), ("s4", "n", {}), ("s5", "n", {"c": None})], "id string, namespace string, selector map<string,string>")
+    work = spark.createDataFrame([("w1", "n", {"a": "1", "b": "2", "c": "3"}), ("w2", "n", {"b": "2"}), ("w3", "n", {"a": "1"}), ("w4", "m", {"a": "1", "c": None}), ("w5", "n", {"c": None})], "id string, namespace string, labels map<string,string>")
+    found = links.select_workloads(services, work)
+    assert {tuple(r) for r in found.collect()} == {("s1", "w1"), ("s2", "w1"), ("s2", "w2"), ("s3", "w4")}
+    # One pair of a selector, that very many workloads may have, is no key of the join.
+    assert "explode(labels" not in _plan(found) and "values" in _plan(found)
+
+
+def test_degrees_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    from graphloom.functions import tables
+
+    spark.range(20_000).selectExpr("concat('a', id) as source", "concat('b', id % 7) as target").write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    monkeypatch.setattr(tables, "PART_BYTES", 4 << 10)
+    many = cards.degrees(e)
+    assert many.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert many.agg(F.sum("n_in"), F.sum("n_out"), F.count("*")).first() == (20_000, 20_000, 20_007)
