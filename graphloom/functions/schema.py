@@ -50,8 +50,13 @@ def producer():
     return F.coalesce(F.col("metadata")["producer"], F.lit(""))
 
 
-def stamped(df: DataFrame, name) -> DataFrame:
-    """``df`` with ``metadata['producer']`` set; other keys stay."""
+def owned(name):
+    """``metadata`` with its producer set; other keys stay."""
     name = F.lit(name) if isinstance(name, str) else name
     rest = F.map_filter("metadata", lambda k, v: k != "producer")
-    return df.withColumn("metadata", F.map_concat(rest, F.create_map(F.lit("producer"), name)))
+    return F.map_concat(rest, F.create_map(F.lit("producer"), name))
+
+
+def stamped(df: DataFrame, name) -> DataFrame:
+    """``df`` with ``metadata['producer']`` set; other keys stay."""
+    return df.withColumn("metadata", owned(name))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import limits as L
-from ..functions.schema import CONFIDENCE, EDGE_KEY, Batch, producer, stamped
+from ..functions.schema import CONFIDENCE, EDGE_KEY, Batch, owned, producer, stamped
 
 
 class Rejected(ValueError):
@@ -94,10 +94,13 @@ def new_rows(nodes: DataFrame, edges: DataFrame, batch: Batch) -> tuple[int, int
 
 def _upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...], keep_owner: bool) -> DataFrame:
     if keep_owner:
-        owners = old.select(*key, producer().alias("__owner"))
-        joined = new.join(owners, list(key), "left")
+        # One join: a row that both have is the new one with the old one's producer.
+        pair = lambda df, name: df.select(*key, F.struct(*[F.col(c) for c in old.columns]).alias(name))
+        both = pair(old, "__old").join(pair(new, "__new"), list(key), "full")
+        row = F.when(F.col("__new").isNull(), F.col("__old")).otherwise(F.col("__new"))
+        joined = both.select(row.alias("row"), F.col("__old.metadata").getItem("producer").alias("__owner"), F.col("__new").isNotNull().alias("__is_new")).select("row.*", "__owner", "__is_new")
         owner = F.when(F.coalesce("__owner", F.lit("")) != "", F.col("__owner")).otherwise(producer())
-        new = stamped(joined, owner).select(*new.columns)
+        return joined.withColumn("metadata", F.when(F.col("__is_new"), owned(owner)).otherwise(F.col("metadata"))).select(*old.columns)
     rest = old.join(new.select(*key), list(key), "left_anti").select(*old.columns)
     return rest.unionByName(new.select(*old.columns))
 
