@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import limits as L
 from ..functions import text
+from ..functions.tables import cut, written
 
 # Words that tell what a question is about, and kinds whose dotted labels are names of code.
 TEST_WORDS = {"test", "tests", "testing", "spec"}
@@ -32,6 +33,14 @@ def postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.explode(words).alias("token"))
 
 
+def may_match(token, asked: list[str]):
+    """Whether a token can match one of a question's in any tier: it is one or begins one, or shares a trigram."""
+    grams = sorted({t[i : i + 3] for t in asked for i in range(len(t) - 2)})
+    starts = sorted({t[:i] for t in asked for i in range(1, len(t) + 1)})
+    near = token.isin(*starts)
+    return near | token.rlike("|".join(grams)) if grams else near
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count("*").alias("df"))
 
@@ -80,14 +89,23 @@ def search(nodes: DataFrame, edges: DataFrame, question: str, budget: int = L.BU
     asked = query_tokens(question)
     shape = "qid int, pos int, token string"
     questions = nodes.sparkSession.createDataFrame([(0, i, t) for i, t in enumerate(asked)], shape)
-    hit = nodes.join(scores(nodes, questions, post), "id")
     weight = F.when(F.contains("label", F.lit(".")) & ~F.col("kind").isin(*CALLABLE), L.DOTTED_WEIGHT).otherwise(1.0)
     if not IMPORT_WORDS & set(asked):
         weight = weight * F.when(text.is_stub("id"), L.STUB_WEIGHT).otherwise(1.0)
     if not TEST_WORDS & set(asked):
         weight = weight * F.when(text.is_test_path("source"), L.TEST_WEIGHT).otherwise(1.0)
-    hit = hit.withColumn("score", F.col("score") * weight).where("score > 0")
-    top = hit.orderBy(F.desc(F.round("score", 9)), "id").limit(L.MAX_HITS)
+    best = lambda df: df.where("score > 0").orderBy(F.desc(F.round("score", 9)), "id").limit(L.MAX_HITS)
+    if post is None:
+        # Texts are taken apart once; only tokens that may match are kept, with their node's weight.
+        words = F.array_distinct(F.filter(text.tokens(F.concat_ws(" ", "label", "source")), lambda t: may_match(t, asked)))
+        post = written(nodes.select("id", weight.alias("weight"), F.explode(words).alias("token")), "postings")
+        # The first hits are among the first ids, each by its greatest weight.
+        by_id = scores(nodes, questions, post.select("id", "token")).join(post.groupBy("id").agg(F.max("weight").alias("weight")), "id")
+        by_id = by_id.withColumns({"raw": F.col("score"), "score": F.col("score") * F.col("weight")})
+        hit = nodes.join(F.broadcast(cut(best(by_id).select("id", F.col("raw").alias("score")))), "id")
+    else:
+        hit = nodes.join(scores(nodes, questions, post), "id")
+    top = cut(best(hit.withColumn("score", F.col("score") * weight)))
     return within_budget(with_neighbors(top, edges), budget)
 
 
@@ -95,7 +113,7 @@ def with_neighbors(hits: DataFrame, edges: DataFrame, cap: int = L.MAX_NEIGHBORS
     """``hits`` (bounded) plus ``neighbors``: array<struct<id, relation, dir>> of both directions."""
     out = edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "relation", F.lit("out").alias("dir"), "source", "target")
     into = edges.where("source <> target").select(F.col("target").alias("id"), F.col("source").alias("other"), "relation", F.lit("in").alias("dir"), "source", "target")
-    wanted = hits.select("id")
+    wanted = F.broadcast(hits.select("id"))
     near = out.unionByName(into).join(wanted, "id")
     place = F.row_number().over(Window.partitionBy("id").orderBy("source", "target", "relation", F.desc("dir")))
     near = near.withColumn("n", place).where(F.col("n") <= cap)
