@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import limits as L
 from ..functions import text
-from ..functions.tables import cut
+from ..functions.tables import cut, dealt
 from . import traverse
 
 
@@ -53,7 +53,7 @@ def card(nodes: DataFrame, edges: DataFrame, node: str, cap: int = L.LIST_CAP) -
 def degrees(edges: DataFrame) -> DataFrame:
     """``id``, ``n_in``, ``n_out``; a loop counts in both."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("source").alias("id"), F.lit(1).alias("o")), F.struct(F.col("target").alias("id"), F.lit(0).alias("o")))).alias("e"))
-    return ends.groupBy("e.id").agg(F.sum(1 - F.col("e.o")).alias("n_in"), F.sum("e.o").alias("n_out"))
+    return dealt(ends.select("e.id", "e.o"), "id").groupBy("id").agg(F.sum(1 - F.col("o")).alias("n_in"), F.sum("o").alias("n_out"))
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, top: int = L.HUBS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.schema import as_edges, as_nodes
+from ..functions.tables import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +58,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def grouped(to: str, b: str, relation: str, weight) -> DataFrame:
         returned = F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
-        g = t("lineitem").groupBy("l_orderkey", b).agg(returned.alias("r"), weight.alias("weight"))
+        # Nearly every row is a group of its own.
+        g = dealt(t("lineitem").select("l_orderkey", b, "l_returnflag", "l_quantity"), "l_orderkey", b).groupBy("l_orderkey", b).agg(returned.alias("r"), weight.alias("weight"))
         ends = (F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("source"), F.concat(F.lit(f"{to}:"), F.col(b).cast("string")).alias("target"))
         return g.select(*ends, F.lit(relation).alias("relation"), F.when(F.col("r") == 1, "INFERRED").otherwise("EXTRACTED").alias("confidence"), "weight", meta)
 
