@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from array import array
 from collections import defaultdict
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,24 +17,54 @@ from ..functions import limits as L
 from ..functions import text
 from ..functions.tables import cut
 
-Graph = list[dict[int, float]]
+@dataclass
+class Graph:
+    """Neighbours and weights of each node, row after row, in arrays: objects would take many times as much."""
 
+    ptr: array
+    near: np.ndarray
+    weight: np.ndarray
 
-def _moves(graph: Graph) -> list[int]:
+    def __len__(self) -> int:
+        return len(self.ptr) - 1
+
+    def row(self, i: int) -> tuple[list[int], list[float]]:
+        at = slice(self.ptr[i], self.ptr[i + 1])
+        return self.near[at].tolist(), self.weight[at].tolist()
+
+
+def _graph(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> Graph:
+    """Pairs, each for both of its ends; weights add up in the order of the pairs, and a row's neighbours are in that order."""
+    keep = np.ones(2 * len(a), bool)
+    keep[1::2] = a != b
+    key = np.stack((a * n + b, b * n + a), axis=1).ravel()[keep]
+    key, first, at = np.unique(key, return_index=True, return_inverse=True)
+    weight = np.bincount(at, np.repeat(w, 2)[keep], len(key))
+    rows = key // n if n else key
+    order = np.lexsort((first, rows))
+    ptr = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n))))
+    return Graph(array("q", ptr.astype(np.int64).tobytes()), (key % n if n else key)[order], weight[order])
+
+
+def _moves(graph: Graph) -> np.ndarray:
     """One level: nodes in turn go to the neighbouring community with the largest gain; ties go to the smaller number."""
-    strength = [sum(w for j, w in near.items()) + near.get(i, 0.0) for i, near in enumerate(graph)]
+    n = len(graph)
+    rows = np.repeat(np.arange(n), np.diff(np.array(graph.ptr)))
+    loops = dict(zip(rows[at := np.flatnonzero(rows == graph.near)].tolist(), graph.weight[at].tolist()))
+    del rows
+    strength = array("d", (sum(graph.row(i)[1]) + loops.get(i, 0.0) for i in range(n)))
     total = sum(strength)
-    own, weight = list(range(len(graph))), list(strength)
+    own, weight = array("q", range(n)), array("d", strength)
     for _ in range(L.ROUNDS):
         moved = False
-        for i, near in enumerate(graph):
-            if not strength[i] or not (len(near) - (i in near)):
+        for i in range(n):
+            if not strength[i] or not (graph.ptr[i + 1] - graph.ptr[i] - (i in loops)):
                 continue
             here = own[i]
             weight[here] -= strength[i]
             to: dict[int, float] = defaultdict(float)
             to[here] = 0.0
-            for j, w in near.items():
+            for j, w in zip(*graph.row(i)):
                 if j != i:
                     to[own[j]] += w
             gain = lambda c: to[c] - weight[c] * strength[i] / total  # noqa: B023, E731
@@ -41,66 +76,62 @@ def _moves(graph: Graph) -> list[int]:
             moved |= best != here
         if not moved:
             break
-    return own
+    return np.array(own)
 
 
-def _coarser(graph: Graph, own: list[int]) -> tuple[Graph, list[int]]:
+def _coarser(graph: Graph, own: np.ndarray) -> tuple[Graph, np.ndarray]:
     """A node per community, numbered by its smallest member; inner weight becomes a loop."""
-    number: dict[int, int] = {}
-    new = [number.setdefault(c, len(number)) for c in own]
-    out: Graph = [defaultdict(float) for _ in number]
-    for i, near in enumerate(graph):
-        for j, w in near.items():
-            if i <= j:
-                a, b = new[i], new[j]
-                out[a][b] += w
-                if a != b:
-                    out[b][a] += w
-    return [dict(x) for x in out], new
-
-
-def partition(n: int, pairs: list[tuple[int, int, float]]) -> dict[int, int]:
-    """Community number by node for ``n`` nodes; small ones join their strongest neighbour, lone small ones are left out."""
-    graph: Graph = [defaultdict(float) for _ in range(n)]
-    for a, b, w in pairs:
-        if a != b:
-            graph[a][b] += w
-            graph[b][a] += w
-    base: Graph = [dict(x) for x in graph]
-    own, level = list(range(n)), base
+    _, first, at = np.unique(own, return_index=True, return_inverse=True)
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first)] = np.arange(len(first))
+    new = number[at]
+    rows = np.repeat(np.arange(len(graph)), np.diff(np.array(graph.ptr)))
+    half = rows <= graph.near
+    return _graph(len(first), new[rows[half]], new[graph.near[half]], graph.weight[half]), new
+
+
+def partition(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Community number by node for ``n`` nodes; small ones join their strongest neighbour, lone small ones are left out (-1)."""
+    apart = a != b
+    base = level = _graph(n, a[apart], b[apart], w[apart])
+    own = np.arange(n)
     for _ in range(L.LEVELS):
-        found = _moves(level)
-        smaller, number = _coarser(level, found)
-        own = [number[c] for c in own]
+        smaller, number = _coarser(level, _moves(level))
+        own = number[own]
         if len(smaller) == len(level):
             break
         level = smaller
+    own[np.diff(np.array(base.ptr)) == 0] = -1
+    sizes = dict(zip(*(x.tolist() for x in np.unique(own[own >= 0], return_counts=True))))
+    few = np.array([c for c, size in sizes.items() if size < L.MIN_COMMUNITY], np.int64)
     members: dict[int, set[int]] = defaultdict(set)
-    for i, c in enumerate(own):
-        if base[i]:
-            members[c].add(i)
-    alone: set[int] = set()
-    while len(members) > 1 and len(alone) < len(members):
-        c = min(members.keys() - alone, key=lambda c: (len(members[c]), c))
-        if len(members[c]) >= L.MIN_COMMUNITY:
-            break
+    for i in np.flatnonzero(np.isin(own, few)).tolist():
+        members[int(own[i])].add(i)
+    heap, alone = [(len(ids), c) for c, ids in members.items()], set()
+    heapq.heapify(heap)
+    while heap and len(sizes) > 1 and len(alone) < len(sizes):
+        size, c = heapq.heappop(heap)
+        if sizes.get(c) != size or c in alone:
+            continue
         pull: dict[int, float] = defaultdict(float)
         for i in members[c]:
-            for j, w in base[i].items():
+            for j, x in zip(*base.row(i)):
                 if own[j] != c:
-                    pull[own[j]] += w
+                    pull[int(own[j])] += x
         if not pull:
             alone.add(c)
             continue
         to = min(pull, key=lambda k: (-pull[k], k))
         gone = members.pop(c)
-        for i in gone:
-            own[i] = to
-        members[to] |= gone
+        own[list(gone)] = to
+        sizes[to] += sizes.pop(c)
+        if to in members:
+            members[to] |= gone
+            if sizes[to] < L.MIN_COMMUNITY:
+                heapq.heappush(heap, (sizes[to], to))
     for c in alone:
-        if len(members[c]) < L.MIN_COMMUNITY:
-            del members[c]
-    return {i: c for c, ids in members.items() for i in ids}
+        own[list(members[c])] = -1
+    return own
 
 
 def communities(nodes: DataFrame, edges: DataFrame, module: str | None = None, method: str = "modularity") -> DataFrame:
@@ -122,14 +153,19 @@ def communities(nodes: DataFrame, edges: DataFrame, module: str | None = None, m
         named = _spread(own, e)
     else:
 
-        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = sorted(set(pdf.a) | set(pdf.b))
-            at = {x: i for i, x in enumerate(ids)}
-            found = partition(len(ids), [(at[a], at[b], w) for a, b, w in sorted(zip(pdf.a, pdf.b, pdf.w))])
-            out = pd.DataFrame({"module": [pdf.module.iloc[0]] * len(found), "id": [ids[i] for i in found], "c": list(found.values())})
-            return out.astype({"module": object, "id": object, "c": "int64"})
-
-        named = e.select("module", "a", "b", "w").groupBy("module").applyInPandas(kernel, "module string, id string, c long")
+        def kernel(t: pa.Table) -> pa.Table:
+            a, b = (t[c].cast(pa.large_string()) for c in "ab")
+            ids = pc.unique(pa.chunked_array([*a.chunks, *b.chunks]))
+            ids = ids.take(pc.sort_indices(ids))
+            at = [pc.index_in(c, value_set=ids).to_numpy().astype(np.int64) for c in (a, b)]
+            w = t["w"].to_numpy()
+            order = np.lexsort((w, at[1], at[0]))
+            c = partition(len(ids), at[0][order], at[1][order], w[order])
+            kept = pa.array(c >= 0)
+            named = ids.filter(kept).cast(pa.string())
+            return pa.table([pa.array([t["module"][0].as_py()] * len(named), pa.string()), named, pa.array(c[c >= 0])], ["module", "id", "c"])
+
+        named = e.select("module", "a", "b", "w").groupBy("module").applyInArrow(kernel, "module string, id string, c long")
     # A node's degree is its summed weight inside the graph.
     ends_of = lambda c: e.select("module", F.col(c).alias("id"), "w")
     strength = ends_of("a").unionByName(ends_of("b")).groupBy("module", "id").agg(F.sum("w").alias("degree"))

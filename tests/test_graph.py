@@ -368,3 +368,21 @@ def test_merge_joins_once(spark):
     import re
 
     assert len(re.findall(r"Join ", _plan(e))) == 1
+
+
+def test_communities_hold_arrays():
+    """Some 170 bytes a node rather than many objects; small communities join the strongest neighbour, lone ones are left out."""
+    import tracemalloc
+
+    import numpy as np
+
+    n = 60_000
+    a, b = np.arange(n - 24), n - 24 + np.arange(n - 24) % 24
+    tracemalloc.start()
+    own = communities.partition(n, a, b, np.ones(n - 24))
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+    assert len(set(own.tolist())) == 24 and (own[a] == own[b]).all()
+    pairs = [(i, j, 1.0) for c in (0, 6) for i in range(c, c + 6) for j in range(i + 1, c + 6)] + [(0, 12, 0.5), (6, 12, 2.0), (13, 14, 1.0)]
+    own = communities.partition(16, *(np.array(x) for x in zip(*pairs))).tolist()
+    assert own[12] == own[6] != own[0] and own[13:] == [-1, -1, -1] and len(set(own)) == 3
