@@ -99,7 +99,7 @@ def search(nodes: DataFrame, edges: DataFrame, question: str, budget: int = L.BU
         # Texts are taken apart once; only tokens that may match are kept, with their node's weight.
         words = F.array_distinct(F.filter(text.tokens(F.concat_ws(" ", "label", "source")), lambda t: may_match(t, asked)))
         post = written(nodes.select("id", weight.alias("weight"), F.explode(words).alias("token")), "postings")
-        # The first hits are among the first ids, each by its greatest weight.
+        # An id is one node's, so the first hits are those of the first ids.
         by_id = scores(nodes, questions, post.select("id", "token")).join(post.groupBy("id").agg(F.max("weight").alias("weight")), "id")
         by_id = by_id.withColumns({"raw": F.col("score"), "score": F.col("score") * F.col("weight")})
         hit = nodes.join(F.broadcast(cut(best(by_id).select("id", F.col("raw").alias("score")))), "id")

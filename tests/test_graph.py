@@ -352,7 +352,7 @@ def test_tokens_that_may_match(spark):
     words = ["widget", "widgett", "wi", "w", "s", "small", "smalls", "sm", "red", "re", "r", "idg", "gadget", "123456", "blue", "all"]
     kept = {r.t for r in spark.createDataFrame([(w,) for w in words], "t string").where(search.may_match(F.col("t"), asked)).collect()}
     assert {"widget", "widgett", "wi", "w", "s", "small", "smalls", "sm", "re", "r"} <= kept and not {"123456", "blue", "red"} & kept
-    n = make_nodes(spark, [("1", "red widget", "part"), ("2", "widgets small", "part"), ("3", "blue ring", "part"), ("3", "red.ring", "part")])
+    n = make_nodes(spark, [("1", "red widget", "part"), ("2", "widgets small", "part"), ("3", "blue ring", "part"), ("4", "red.ring", "part")])
     e = make_edges(spark, [("1", "2", "x")])
     given = search.search(n, e, "red widget smal", post=search.postings(n)).collect()
     assert [r.asDict() for r in search.search(n, e, "red widget smal").collect()] == [r.asDict() for r in given] and len(given) == 3
@@ -365,9 +365,7 @@ def test_merge_joins_once(spark):
     n, e = mutate.merge(old_n, old_e, new)
     assert {(r.id, r.label, r.metadata["producer"], r.metadata.get("k")) for r in n.collect()} == {("a", "x", "A", "old"), ("b", "new", "A", None), ("c", "new", "B", None)}
     assert sorted((r.source, r.target, r.metadata["producer"]) for r in e.collect()) == [("a", "b", "A"), ("b", "a", "A"), ("b", "c", "B")]
-    import re
-
-    assert len(re.findall(r"Join ", _plan(e))) == 1
+    assert _plan(e).split("== Initial Plan")[0].count("Join ") == 1
 
 
 def test_communities_hold_arrays():
