@@ -102,7 +102,7 @@ def search(nodes: DataFrame, edges: DataFrame, question: str, budget: int = L.BU
         # An id is one node's, so the first hits are those of the first ids.
         by_id = scores(nodes, questions, post.select("id", "token")).join(post.groupBy("id").agg(F.max("weight").alias("weight")), "id")
         by_id = by_id.withColumns({"raw": F.col("score"), "score": F.col("score") * F.col("weight")})
-        hit = nodes.join(F.broadcast(cut(best(by_id).select("id", F.col("raw").alias("score")))), "id")
+        hit = nodes.join(F.broadcast(cut(best(by_id).select("qid", "id", F.col("raw").alias("score")))), "id")
     else:
         hit = nodes.join(scores(nodes, questions, post), "id")
     top = cut(best(hit.withColumn("score", F.col("score") * weight)))
